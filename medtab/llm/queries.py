@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from medtab.llm import decontaminate
+from medtab.llm import decontaminate, source_mixing, token_rollup, url_filter
 from medtab.llm.common import table
 from medtab.llm.jaccard_join import jaccard_components
 from medtab.llm.language_id import language_id
@@ -20,6 +20,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.replay(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.sampled(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_rollup": op2_token_rollup,
+    "op3_source_mixing": op3_source_mixing,
+    "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
@@ -50,5 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_token_rollup": token_rollup.replayed_sql(),
+    "op3_source_mixing": source_mixing.sql(),
+    "op5_url_filter": url_filter.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
