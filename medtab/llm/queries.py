@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from medtab.llm import decontaminate, source_mixing, token_rollup, url_filter
+from medtab.llm import decontaminate, source_mixing, token_rollup, topk_search, url_filter
 from medtab.llm.common import table
 from medtab.llm.jaccard_join import jaccard_components
 from medtab.llm.language_id import language_id
@@ -28,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.sampled(table(spark, sf_dir, "documents"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered_pages(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_rollup": op2_token_rollup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_topk_search": op4_topk_search,
     "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_token_rollup": token_rollup.replayed_sql(),
     "op3_source_mixing": source_mixing.sql(),
+    "op4_topk_search": topk_search.SQL,
     "op5_url_filter": url_filter.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
