@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medtab.operators import layout, quality, ranges
+from medtab import dims
+from medtab.operators import classify, evaluate, facts, layout, quality, ranges, report, terms
 from medtab.plans import synth
 from medtab.plans.synth import ITEMS_SQL, table
 
@@ -64,7 +65,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "status", "aggregate", *(F.col("scores")[k].alias(k) for k in ("meaningful_words", "line_count", "heading_preservation")))
 
 
-@query(f"WITH {_TEXT_CHECKS} SELECT status, lang, source, count(*) AS n_docs, CAST(sum(CAST(round(aggregate * 10000) AS BIGINT)) AS BIGINT) AS points FROM q JOIN documents USING (doc_id) GROUP BY ROLLUP (status, lang, source)")
+@query(f"WITH {_TEXT_CHECKS} SELECT status, lang, source, count(*) AS n_docs, CAST(coalesce(sum(CAST(round(aggregate * 10000) AS BIGINT)), 0) AS BIGINT) AS points FROM q JOIN documents USING (doc_id) GROUP BY ROLLUP (status, lang, source)")
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"])
     return quality.rollup(q, ["lang", "source"])
@@ -139,8 +140,6 @@ def table_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(CASE user_id % 3 WHEN 2 THEN NULL ELSE 1 END) AS n_converted, round(sum(CASE user_id % 3 WHEN 0 THEN (value - 32) * 5 / 9 WHEN 1 THEN value END), 2) AS total FROM events GROUP BY ALL""")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values with three units against a range in degC."""
-    from medtab import dims
-
     unit = F.when(F.col("user_id") % 3 == 0, "°F").when(F.col("user_id") % 3 == 1, "celsius").otherwise("mm")
     rows = ranges.canonical_units(table(spark, sf_dir, "events").select("event_type", F.col("value").alias("value_num"), unit.alias("raw")), dims.unit_aliases(spark), "raw")
     out = ranges.convert_units(rows.withColumn("unit", F.col("raw_canonical")).withColumn("range_unit", F.lit("degC")), dims.unit_conversions(spark))
@@ -176,3 +175,249 @@ def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = nouns.select("rule", F.col("rule").alias("title"), F.lit(1).alias("position"), F.concat(F.lit(" "), F.col("rule")).alias("pattern"))
     out = ranges.context_groups(li.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("p_name").alias("concept")), rules)
     return out.select("doc_id", "rule", F.size("concepts").alias("n"))
+
+
+def _finding_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sections_markdown(synth.reports(spark, sf_dir))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names with their noun and adjective."""
+    return table(spark, sf_dir, "part").select("p_name", F.element_at(F.split("p_name", " "), 1).alias("adjective"), F.element_at(F.split("p_name", " "), 2).alias("noun")).distinct()
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = _finding_sections(spark, sf_dir).where("title = 'FINDINGS'")
+    names = _names(spark, sf_dir).select(F.lit("generic").alias("rule_set"), F.row_number().over(Window.orderBy("p_name")).alias("position"), F.col("p_name").alias("pattern"))
+    routed = facts.route(sections.select("doc_id", F.lit(None).cast("string").alias("report_type")).distinct(), spark.createDataFrame([("order", "generic")], "report_type string, rule_set string"))
+    return facts.findings(facts.clauses(sections, ["Interpretation"]), routed, names)
+
+
+@query(f"WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(rn - 1 AS INTEGER) AS clause_no, lead || p_name AS clause FROM items JOIN orders ON l_orderkey = o_orderkey")
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.clauses(_finding_sections(spark, sf_dir).where("title = 'FINDINGS'")).select("doc_id", "clause_no", "clause")
+
+
+_ASSERTED = "CASE lead WHEN 'No ' THEN 'ABSENT' WHEN 'Possible ' THEN 'POSSIBLE' ELSE 'PRESENT' END"
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT DISTINCT l_orderkey, lead, p_name FROM items JOIN orders ON l_orderkey = o_orderkey)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, lead || p_name AS finding, p_name AS pattern, {_ASSERTED} AS assertion, lead = 'No ' AS negated, CASE lead WHEN 'No ' THEN 'No' WHEN 'Possible ' THEN 'Possible' END AS cue FROM d""")
+def findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the reports with their assertion and cue."""
+    return _findings(spark, sf_dir).select("doc_id", "finding", "pattern", "assertion", "negated", "cue")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT {_ASSERTED} AS assertion, count(*) AS n, count(DISTINCT l_orderkey) AS n_docs FROM items JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assertion of every clause, without a target."""
+    rows = facts.with_assertion(facts.clauses(_finding_sections(spark, sf_dir).where("title = 'FINDINGS'")))
+    return rows.groupBy("assertion").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT DISTINCT l_orderkey, lead, p_name FROM items JOIN orders ON l_orderkey = o_orderkey)
+SELECT count(*) AS n, 1.0 AS accuracy, 1.0 AS "precision", 1.0 AS recall, 1.0 AS f1 FROM d""")
+def assertion_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negation found in clauses against the flag of the line items that made them."""
+    truth = synth.items(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat("lead", "p_name").alias("finding"), (F.col("l_returnflag") == "R").alias("label")).distinct()
+    pairs = _findings(spark, sf_dir).select("doc_id", "finding", F.col("negated").alias("predicted")).join(truth, ["doc_id", "finding"])
+    return evaluate.accuracy(pairs)
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) AS n FROM items JOIN orders ON l_orderkey = o_orderkey WHERE split_part(p_name, ' ', 2) <> 'rod' GROUP BY 1""")
+def admin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements whose name is on the list of administrative terms (here: rods) are dropped."""
+    admin = _names(spark, sf_dir).where("noun = 'rod'").select(F.concat(F.upper("p_name"), F.lit("")).alias("term"))
+    return facts.drop_admin(parsed_measurements(spark, sf_dir), admin).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT DISTINCT l_orderkey, p_name FROM items JOIN orders ON l_orderkey = o_orderkey) SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, p_name AS term FROM d""")
+def anatomy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon words of the reports' sections."""
+    sections = _finding_sections(spark, sf_dir)
+    lexicon = _names(spark, sf_dir).select(F.lit("generic").alias("rule_set"), F.row_number().over(Window.orderBy("p_name")).alias("position"), F.col("p_name").alias("pattern"))
+    routed = sections.select("doc_id").distinct().withColumn("rule_set", F.lit("generic"))
+    return facts.anatomy(sections, routed, lexicon).select("doc_id", "term")
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures made from part names: a type for each noun; "hot" things exclude, "red" ones are measurements of it."""
+    nouns = _names(spark, sf_dir).select("noun").distinct().withColumn("registry_no", F.row_number().over(Window.orderBy("noun")))
+    row = lambda role, pattern, weight: F.struct(F.lit(role).alias("role"), pattern.alias("pattern"), F.lit(weight).alias("weight"))
+    each = F.array(row("strong", F.col("noun"), 4.0), row("measurement", F.concat(F.lit("red "), F.col("noun")), 0.0), row("exclusion", F.concat(F.lit("hot "), F.col("noun")), 0.0))
+    return nouns.select(F.col("noun").alias("report_type"), "registry_no", F.explode(each).alias("e")).select("report_type", "registry_no", "e.role", F.lit(0).alias("group_no"), F.lit(0).alias("position"), "e.pattern", "e.weight")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = synth.reports(spark, sf_dir)
+    rows = layout.tables_markdown(pages)
+    signals = classify.signals(layout.sections_markdown(pages), rows, layout.measurements_from_tables(rows), pages.select("doc_id", "text"))
+    patterns = _signatures(spark, sf_dir)
+    found = classify.evidence(signals, patterns)
+    return classify.scores(pages, found, patterns, classify.exclusions(signals, patterns)), found
+
+
+_SCORED = f"""{ITEMS_SQL}, i AS (SELECT l_orderkey, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM items JOIN orders ON l_orderkey = o_orderkey),
+sc AS (SELECT l_orderkey, noun, (8 + 5 * max(CASE WHEN adj = 'red' THEN 1 ELSE 0 END)) * CASE WHEN max(CASE WHEN adj = 'hot' THEN 1 ELSE 0 END) = 1 THEN 0.5 ELSE 1 END AS score FROM i GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SCORED} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, noun AS report_type, CAST(score AS DOUBLE) AS score FROM sc")
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)[0].where("score > 0").select("doc_id", "report_type", "score")
+
+
+@query(f"""WITH {_SCORED}, r AS (SELECT l_orderkey, noun, score, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, noun) AS rn, lead(score) OVER (PARTITION BY l_orderkey ORDER BY score DESC, noun) AS nx,
+  count(*) FILTER (score >= 5) OVER (PARTITION BY l_orderkey) AS v FROM sc),
+t AS (SELECT *, CASE WHEN v = 0 THEN 'UNKNOWN' WHEN v >= 2 AND ((score - nx) / score < 0.25 OR score < nx * 1.4) THEN 'AMBIGUOUS' WHEN score >= 12 THEN 'CONFIDENT' ELSE 'UNCERTAIN' END AS status FROM r WHERE rn = 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN status IN ('UNKNOWN', 'AMBIGUOUS') THEN 'unknown' ELSE noun END AS report_type, status, round(least(score / 35, 1), 4) AS confidence FROM t""")
+def class_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.decide(_scored(spark, sf_dir)[0]).select("doc_id", "report_type", "status", F.round("confidence", 4).alias("confidence"))
+
+
+@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id, event_type AS name, CAST(value AS VARCHAR) AS value_raw, value AS value_num, 'mm' AS unit FROM events WHERE value >= 0.01""")
+def inline_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as lines "type: value mm", one text a user."""
+    ev = table(spark, sf_dir, "events").where("value >= 0.01").select(F.col("user_id").cast("string").alias("doc_id"), F.concat(F.col("event_type"), F.lit(": "), F.col("value").cast("string"), F.lit(" mm")).alias("line"), "event_id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda s: s["line"]), "\n")
+    sections = ev.groupBy("doc_id").agg(text.alias("text")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("section_no"), F.lit("Events").alias("title"), "text")
+    return facts.inline_measurements(sections).select("doc_id", "name", "value_raw", "value_num", "unit")
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey, 90 + CAST(l_quantity AS INTEGER) AS s, 55 + l_linenumber * 5 AS p FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, s || '/' || p AS value_raw, CASE WHEN p > 80 THEN 'ABOVE_REPORTED_REFERENCE_RANGE' WHEN p < 60 THEN 'BELOW_REPORTED_REFERENCE_RANGE' WHEN s > 120 THEN 'ABOVE_REPORTED_REFERENCE_RANGE'
+  ELSE 'WITHIN_REPORTED_RANGE' END AS comparison FROM d""")
+def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as blood pressures in notes; both parts compared with a range table."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("Seen today, BP "), (90 + F.col("l_quantity").cast("int")).cast("string"), F.lit("/"), (55 + F.col("l_linenumber") * 5).cast("string"), F.lit(" mmHg")).alias("line"))
+    sections = li.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("section_no"), F.lit("Note").alias("title"), "text")
+    found = facts.pattern_measurements(sections, dims.vital_patterns(spark))
+    parts = ranges.split_pressure(found.where("name = 'Blood Pressure'").select("doc_id", F.col("value_raw").alias("value")))
+    low, high = F.when(F.col("component") == "systolic", 90.0).otherwise(60.0), F.when(F.col("component") == "systolic", 120.0).otherwise(80.0)
+    from medtab.functions.text import compare
+
+    return ranges.pressure_comparison(parts.withColumn("comparison", compare(F.col("value_num"), low, high)), ["doc_id", "value"]).withColumnRenamed("value", "value_raw")
+
+
+_NOUN_NATION = "n AS (SELECT noun, n_name FROM (SELECT noun, row_number() OVER (ORDER BY noun) - 1 AS k FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS noun FROM part)) JOIN nation ON k = n_nationkey)"
+
+
+@query(f"WITH {_NOUN_NATION} SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_name AS source, 'ASSOCIATED_WITH' AS relation, n_name AS target FROM part JOIN n ON split_part(p_name, ' ', 2) = noun")
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts related to the nation that their noun is linked with."""
+    nouns = _names(spark, sf_dir).select("noun").distinct().withColumn("k", F.row_number().over(Window.orderBy("noun")) - 1)
+    links = nouns.join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey")).select(F.col("k").alias("position"), F.col("noun").alias("key"), F.col("n_name").alias("target"))
+    sources = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_name").alias("source"))
+    return facts.relationships(sources, links, "ASSOCIATED_WITH")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns as ambiguous forms of the part names that end in them."""
+    names = _names(spark, sf_dir).select(F.col("noun").alias("surface_form"), F.col("p_name").alias("candidate"), F.lit("general").alias("domain"), F.lit(False).alias("is_safety"), F.row_number().over(Window.orderBy("p_name")).alias("line_no"), F.lit(True).alias("ambiguous"))
+    return terms.tagged_candidates(names, spark.createDataFrame([], "term string, domain string"), spark.createDataFrame([("cardiology", "ventricle")], "domain string, keyword string"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, split_part(p_name, ' ', 2) AS term, CASE WHEN p_name NOT LIKE 'cold %' THEN p_name END AS normalized,
+  CASE WHEN p_name LIKE 'cold %' THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM part""")
+def terms_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns resolved to part names by the words near them; "cold" also holds "old", so those stay ambiguous."""
+    mentions = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.element_at(F.split("p_name", " "), 2).alias("term"), F.col("p_name").alias("source_text"))
+    return terms.resolve(mentions, _corpus(spark, sf_dir)).select("doc_id", "term", "normalized", "status")
+
+
+@query("""WITH v AS (SELECT p_type, split_part(p_name, ' ', 2) AS noun, min(p_name) AS value FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2), c AS (SELECT split_part(p_name, ' ', 2) AS noun FROM part GROUP BY 1)
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, value AS normalized, CASE WHEN value IS NULL THEN 'AMBIGUOUS' ELSE 'RESOLVED' END AS status FROM part p LEFT JOIN v ON v.p_type = p.p_type AND v.noun = split_part(p_name, ' ', 2)""")
+def terms_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns resolved by the vocabulary of a report type; without context the rest stays ambiguous."""
+    part = table(spark, sf_dir, "part")
+    noun = F.element_at(F.split("p_name", " "), 2)
+    vocab = part.where("p_size % 2 = 0").groupBy(F.lower("p_type").alias("rule_set"), noun.alias("key")).agg(F.min("p_name").alias("value"))
+    mentions = part.select(F.col("p_partkey").cast("string").alias("doc_id"), noun.alias("term"), F.lower("p_type").alias("report_type"))
+    return terms.resolve(mentions, _corpus(spark, sf_dir), vocab).select("doc_id", "normalized", "status")
+
+
+@query("""SELECT count(*) AS records, count(DISTINCT split_part(p_name, ' ', 2)) AS forms, count(DISTINCT split_part(p_name, ' ', 2)) AS ambiguous_forms, CAST(0 AS BIGINT) AS safety_forms FROM (SELECT DISTINCT p_name FROM part)""")
+def terminology_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir).select(F.col("noun").alias("surface_form"), F.lit(True).alias("ambiguous"), F.lit(False).alias("is_safety"))
+    return evaluate.terminology_statistics(names)
+
+
+def _part_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("concept_no"), F.col("p_name").alias("concept"), F.col("p_name").alias("original_text"), F.lit("FINDING").alias("type"),
+                                               F.upper(F.element_at(F.split("p_name", " "), 2)).alias("semantic_category"), F.lit(None).cast("string").alias("value_raw"), F.lit(None).cast("double").alias("value_num"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("reference_range"),
+                                               F.when(size % 2 == 0, "PRESENT").otherwise("ABSENT").alias("assertion"), F.create_map().cast("map<string,string>").alias("modifiers"))
+
+
+def _part_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir).where("adjective <> 'old'")
+    base = names.select(F.concat(F.initcap("p_name"), F.lit("!")).alias("key"), F.concat(F.lit("A kind of "), F.col("noun")).alias("definition"), F.col("noun").alias("category"))
+    asked = names.where("adjective = 'hot'").select(F.col("p_name").alias("key"), F.lit(report.NO_RESULT).alias("definition"), F.col("noun").alias("category"))
+    return report.explain(_part_concepts(spark, sf_dir), report.layered([asked, base]))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, p_name, p_size % 2 AS o FROM part)
+SELECT p_brand AS doc_id, CASE WHEN split_part(p_name, ' ', 1) IN ('old', 'hot') THEN 'NOT_FOUND' ELSE 'EXPLAINED' END AS status, count(*) AS n,
+  count(CASE WHEN split_part(p_name, ' ', 1) NOT IN ('old', 'hot') AND o = 1 THEN 1 END) AS n_absent FROM d GROUP BY 1, 2""")
+def explain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts with the definition of their key; two layers, of which the first says for hot things that there is none."""
+    e = _part_explained(spark, sf_dir)
+    return e.groupBy("doc_id", "status").agg(F.count("*").alias("n"), F.count_if(F.col("explanation").contains("not present")).alias("n_absent"))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, p_name, p_size % 2 AS o FROM part), s AS (SELECT *, CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Rings' WHEN 'bolt' THEN 'Bolts' ELSE 'Other Findings' END AS t FROM d)
+SELECT p_brand AS doc_id, t AS section_title, CASE t WHEN 'Rings' THEN 1 WHEN 'Bolts' THEN 2 ELSE 8 END AS section_order, CAST(count(*) AS INTEGER) AS n FROM s GROUP BY 1, 2, 3""")
+def explain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = spark.createDataFrame([("RING", "Rings", 1), ("BOLT", "Bolts", 2)], "semantic_category string, section_title string, section_order int")
+    return report.sectioned(_part_explained(spark, sf_dir), sections).select("doc_id", "section_title", "section_order", F.size("items").alias("n"))
+
+
+@query(f"""WITH {ITEMS_SQL}, i AS (SELECT * FROM items JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT DISTINCT l_orderkey, lead, p_name FROM i),
+m AS (SELECT DISTINCT ON (l_orderkey, p_name, l_quantity) l_orderkey, p_name, l_quantity, lo, hi FROM i ORDER BY l_orderkey, p_name, l_quantity, unit, lo || ' - ' || hi),
+nf AS (SELECT l_orderkey, count(*) AS n_findings, count(*) FILTER (lead = 'Mild ') AS a FROM f GROUP BY 1), nm AS (SELECT l_orderkey, count(*) AS n_measurements, count(*) FILTER (l_quantity < lo OR l_quantity > hi) AS a FROM m GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(n_findings AS INTEGER) AS n_findings, CAST(n_measurements AS INTEGER) AS n_measurements, nf.a + nm.a AS n_abnormal FROM nf JOIN nm USING (l_orderkey)""")
+def final_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final reports of all orders: findings, measurements and abnormal facts."""
+    pages = synth.reports(spark, sf_dir)
+    found = facts.inline_measurements(layout.sections_markdown(pages), parsed_measurements(spark, sf_dir))
+    concepts = facts.concepts(_findings(spark, sf_dir), found)
+    classified = pages.select("doc_id", F.lit("order").alias("report_type"), F.lit("CONFIDENT").alias("status"), F.lit(1.0).alias("confidence"))
+    out = report.final_reports(classified, concepts, ranges.significance(concepts))
+    return out.select("doc_id", F.size("key_findings").alias("n_findings"), F.size("measurements_of_interest").alias("n_measurements"), "n_abnormal")
+
+
+@query(f"""WITH {ITEMS_SQL}, i AS (SELECT * FROM items JOIN orders ON l_orderkey = o_orderkey), f AS (SELECT DISTINCT l_orderkey, lead, p_name FROM i),
+m AS (SELECT DISTINCT l_orderkey, p_name, l_quantity FROM i), n AS (SELECT o_orderstatus AS report_type, o_orderpriority AS status, count(*) AS d FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2),
+x AS (SELECT o_orderstatus AS report_type, o_orderpriority AS status, 1 AS n_docs, (SELECT count(*) FROM f WHERE f.l_orderkey = o_orderkey) AS nf, (SELECT count(*) FROM m WHERE m.l_orderkey = o_orderkey) AS nm FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM items))
+SELECT report_type, status, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(nf) AS BIGINT) AS n_findings, CAST(sum(nm) AS BIGINT) AS n_measurements FROM x GROUP BY ROLLUP (report_type, status)""")
+def fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by order status and priority, with subtotals."""
+    pages = synth.reports(spark, sf_dir)
+    found = facts.inline_measurements(layout.sections_markdown(pages), parsed_measurements(spark, sf_dir))
+    counts = evaluate.fact_counts({"findings": _findings(spark, sf_dir), "measurements": found})
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderstatus").alias("report_type"), F.col("o_orderpriority").alias("status"))
+    return evaluate.counts_rollup(counts, kinds.join(pages.select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("""WITH l AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'primary' ELSE 'secondary' END AS extractor, n_chars > 500 AS ok, n_chars FROM documents)
+SELECT extractor, count(*) AS runs, count(*) FILTER (ok) AS succeeded, round(avg(n_chars), 4) AS mean_seconds, quantile_cont(n_chars, 0.5) AS median_chars FROM l GROUP BY 1""")
+def extract_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "primary").otherwise("secondary").alias("extractor"), (F.col("n_chars") > 500).alias("success"), F.col("n_chars").alias("seconds"), "n_chars")
+    return evaluate.extraction_comparison(log)
+
+
+@query()
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intake stream over all documents, landed as four files: the last status of each."""
+    import tempfile
+    import uuid
+
+    from medtab.streaming import intake
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="medtab-")
+    base = f"{shared.rstrip('/')}/intake-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 50 == 0, "binary").otherwise("plain")
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text", kind.alias("fmt"), F.lit("primary").alias("extractor"), F.lit(True).alias("success"), F.lit(0).alias("n_images"), F.array().cast("array<string>").alias("errors"))
+    pages.repartition(4, "doc_id").write.parquet(f"{base}/landing")
+    intake.run_intake(spark, f"{base}/landing", f"{base}/status", f"{base}/checkpoint")
+    return intake.latest_status(spark, f"{base}/status").drop("batch_id")
