@@ -3,11 +3,13 @@
 A document's set holds the hashes of its distinct word n-grams. Documents with equal sets are one class. Grams are put
 in one global order, most shared first, by how many classes hold them; read from its rare end, a set that can link to
 another shares one of its rarest few grams with it (the prefix), so a class whose prefix grams are all its own links to
-nothing and leaves early. The others are met in two passes: blocks of sets that agree on a minimum hash give links that
-join most of each group cheaply (which links they miss doesn't matter), then every class that shares a prefix gram with a *different* component is compared
-with all of that component. A block's sets stand in lexicographic order with the lengths of their common prefixes, which
-is a trie laid flat: a probe walks it once, keeps the overlap at each depth, and leaves a subtree when what remains
-cannot reach the threshold. Only a spanning forest of the links is emitted, never all pairs of a group.
+nothing and leaves early. The others are met in two passes. First, blocks of sets that agree on a minimum hash give links
+that join most of each group cheaply; which links they miss doesn't matter. Then units (components, and piles of classes
+still alone) that share a prefix gram are compared: every class of the smaller with all of the larger.
+
+A block's sets stand in lexicographic order with the lengths of their common prefixes, which is a trie laid flat: a probe
+walks it once, keeps the overlap at each depth, and leaves a subtree when what remains cannot reach the threshold. Only a
+spanning forest of a block's links is emitted, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from medtab.llm.components import components
 GRAM_BITS, BUCKET_BITS = 54, 6
 #: Sets in a block of the tree join, and minimum hashes that choose the blocks of the first pass.
 BLOCK, MIN_HASHES = 512, 2
-#: Sets before it in a block with which the first pass compares a set; the second pass makes up for all others.
+#: Sets before it in a block with which the first pass compares a set: half are the block's first, which hold most of what
+#: the block shares, half the nearest in order. The second pass makes up for all others.
 NEAREST = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -235,7 +238,8 @@ def block_links(digests: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray],
                 break
             mask = np.zeros(len(trie.universe), bool)
             mask[trie.rows[i]] = True
-            found = next(trie.walk(mask, int(n[i]), other[-NEAREST:], percent), None)
+            near = other if len(other) <= NEAREST else np.r_[other[: NEAREST // 2], other[-NEAREST // 2 :]]
+            found = next(trie.walk(mask, int(n[i]), near, percent), None)
             if found is None:
                 break
             a, b = comp[found], comp[i]
@@ -277,7 +281,8 @@ def _first_links(percent: int):
 
 
 def _cross_links(percent: int):
-    """Probes against the members of the components they may link to: one link for a probe and component suffices."""
+    """Probes against the members of the units they may link to: within one component one link for a probe suffices, so a
+    probe leaves a unit at its first link to a component, and meets all members of a pile."""
 
     def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -287,13 +292,14 @@ def _cross_links(percent: int):
                 continue
             m = held[key]
             joint = _rank_first(_sets(m) + _sets(p))
-            n, ids = m.n.to_numpy(np.int64), m.digest.to_numpy(np.int64)
+            n, ids, pile = m.n.to_numpy(np.int64), m.digest.to_numpy(np.int64), bool(m.pile.iloc[0])
             trie = FlatTrie(joint[: len(m)], n)
             for probe, size, grams in zip(p.digest, p.n, joint[len(m) :], strict=True):
-                wanted = np.flatnonzero(100 * np.minimum(trie.sizes, size) >= percent * np.maximum(trie.sizes, size))
-                found = next(trie.walk(trie.mask(grams), int(size), wanted, percent), None)
-                if found is not None:
+                wanted = np.flatnonzero((100 * np.minimum(trie.sizes, size) >= percent * np.maximum(trie.sizes, size)) & (ids[trie.order] != probe))
+                for found in trie.walk(trie.mask(grams), int(size), wanted, percent):
                     out.append((int(probe), int(ids[trie.order[found]])))
+                    if not pile:
+                        break
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -327,29 +333,34 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     first = cut(first, "first")
     comps = cut(components(first), "comps")
 
-    sized = comps.groupBy("comp").agg(F.count("*").alias("held"))
-    where = (able.select("digest").join(comps.withColumnRenamed("node", "digest"), "digest", "left")
-             .withColumn("comp", F.coalesce("comp", "digest")).join(sized, "comp", "left")
-             .withColumn("held", F.coalesce("held", F.lit(1))))
-    where = cut(where.select("digest", "comp", "held"), "where")
+    # units: components of two or more classes, and piles of single classes that agree on a minimum hash
+    sized = comps.groupBy("comp").agg(F.count("*").alias("size"))
+    where = (able.select("digest", F.xxhash64(F.col("keys")[0]).alias("pile")).join(comps.withColumnRenamed("node", "digest"), "digest", "left")
+             .join(sized, "comp", "left"))
+    where = where.select("digest", F.coalesce("comp", "pile").alias("unit"), F.col("comp").isNull().alias("pile"))
+    held = where.groupBy("unit").agg(F.count("*").alias("held"))
+    where = cut(where.join(held, "unit"), "where")
     post = able.select("digest", "n", F.explode("prefix").alias("gram")).join(where, "digest")
-    mixed = post.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    post = cut(post.join(mixed, "gram"), "post")
-    seen = post.groupBy("gram", "comp", "held").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    seen = seen.select("gram", F.col("comp").alias("to"), F.col("held").alias("to_held"), "n_lo", "n_hi")
-    probe = (post.join(seen, "gram")
-             .where((F.col("comp") != F.col("to")) & (F.struct("held", "comp") < F.struct(F.col("to_held").alias("held"), F.col("to").alias("comp"))))
-             .where((100 * F.col("n_hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n_lo")))
-             .select("digest", F.col("to").alias("comp"), F.col("to_held").alias("held")).distinct())
-    probe = cut(probe, "probe")
+    seen = post.groupBy("gram", "unit", "pile", "held").agg(F.count("*").alias("c"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    seen = cut(seen, "seen")
+    # a list with one unit that is a component has nothing left to compare
+    open_ = seen.groupBy("gram").agg(F.count("*").alias("units"), F.max(F.col("pile") & (F.col("c") > 1)).alias("inner")).where("units > 1 or inner").select("gram")
+    seen = seen.join(open_, "gram")
+    to = seen.select("gram", F.col("unit").alias("to"), F.col("held").alias("to_held"), F.col("n_lo").alias("to_lo"), F.col("n_hi").alias("to_hi"))
+    cross = (F.col("unit") != F.col("to")) & (F.struct("held", "unit") < F.struct(F.col("to_held").alias("held"), F.col("to").alias("unit")))
+    own = (F.col("unit") == F.col("to")) & F.col("pile") & (F.col("c") > 1)
+    pairs = (seen.join(to, "gram").where(cross | own)
+             .where((100 * F.col("to_hi") >= percent * F.col("n_lo")) & (100 * F.col("n_hi") >= percent * F.col("to_lo")))
+             .select("unit", "to", "to_held").distinct())
+    probe = cut(where.select("digest", "unit").join(pairs, "unit").select("digest", F.col("to").alias("comp"), F.col("to_held").alias("held")), "probe")
     salts = F.ceil(F.col("held") / BLOCK)
     bundle = F.pmod(F.xxhash64("comp", "salt"), F.lit(bundles)).alias("bundle")
     sets = able.select("digest", "n", "grams")
     left = (probe.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).join(sets, "digest")
             .select(bundle, "comp", "salt", "digest", "n", "grams"))
     asked = probe.select("comp").distinct()
-    right = (where.join(asked, "comp").withColumn("salt", F.pmod(F.xxhash64("digest"), salts)).join(sets, "digest")
-             .select(bundle, *(F.col(c).alias(c) for c in ("comp", "salt", "digest", "n", "grams"))))
+    right = (where.withColumnRenamed("unit", "comp").join(asked, "comp").withColumn("salt", F.pmod(F.xxhash64("digest"), salts)).join(sets, "digest")
+             .select(bundle, *(F.col(c).alias(c) for c in ("comp", "salt", "pile", "digest", "n", "grams"))))
     cross = left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInPandas(_cross_links(percent), _EDGE)
     cross = cut(cross, "cross")
     if cross.isEmpty():
