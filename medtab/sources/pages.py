@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medtab import schemas
-from medtab.functions.text import strip
 
 #: A stored report as nested JSON.
 REPORT = ("document struct<file_name:string,page_count:int,source_type:string,extractor:string>, sections array<struct<title:string,page:int,text:string>>, "
@@ -54,9 +53,9 @@ def read_terminology(spark: SparkSession, path: str, ambiguous_domains: list[str
     """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     start = lines.where(F.upper(F.trim("line")) == "ENTRIES").agg(F.min("line_no").alias("start"))
-    fields = lines.crossJoin(F.broadcast(start)).where(F.col("line_no") > F.col("start")).select("line_no", F.transform(F.split("line", r"\|"), F.trim).alias("f")).where((F.size("f") >= 2) & (F.col("f")[0] != ""))
-    forms = fields.select("line_no", F.explode(F.filter(F.transform(F.split(F.col("f")[0], "/"), F.trim), lambda x: x != "")).alias("surface_form"),
-                          F.filter(F.transform(F.split(F.col("f")[1], r" OR |;"), lambda x: F.initcap(F.trim(x))), lambda x: x != "").alias("cs"),
+    fields = lines.crossJoin(F.broadcast(start)).where(F.col("line_no") > F.col("start")).select("line_no", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("f")).where((F.size("f") >= 2) & (F.get("f", F.lit(0)) != ""))
+    forms = fields.select("line_no", F.explode(F.filter(F.transform(F.split(F.get("f", F.lit(0)), "/"), lambda x: F.trim(x)), lambda x: x != "")).alias("surface_form"),
+                          F.filter(F.transform(F.split(F.get("f", F.lit(1)), r" OR |;"), lambda x: F.initcap(F.trim(x))), lambda x: x != "").alias("cs"),
                           F.coalesce(F.nullif(F.try_element_at("f", F.lit(3)), F.lit("")), F.lit("general")).alias("domain"))
     rows = forms.select("line_no", "surface_form", "domain", F.explode("cs").alias("candidate"))
     per = Window.partitionBy(F.lower("surface_form"))
@@ -68,7 +67,7 @@ def read_terminology(spark: SparkSession, path: str, ambiguous_domains: list[str
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """A bundle of observation definitions as ``reference_ranges``, each with its first coding's code."""
     raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
-    one = raw.select(F.explode("entry.resource").alias("r")).select(F.col("r.code.coding")[0]["code"].alias("code"), F.posexplode("r.qualifiedInterval").alias("interval_no", "q"))
+    one = raw.select(F.explode("entry.resource").alias("r")).select(F.get("r.code.coding", F.lit(0))["code"].alias("code"), F.posexplode("r.qualifiedInterval").alias("interval_no", "q"))
     return one.where("code is not null").select("code", F.lower("q.gender").alias("gender"), F.coalesce("q.category", F.lit("reference")).alias("category"), "interval_no",
                                                 F.col("q.range.low.value").alias("low"), F.col("q.range.high.value").alias("high"), F.coalesce("q.range.low.unit", "q.range.high.unit").alias("unit"))
 
@@ -90,7 +89,3 @@ def failure_rows(pages: DataFrame) -> DataFrame:
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """An empty table of one of the schemas."""
     return spark.createDataFrame([], getattr(schemas, schema.upper(), schema))
-
-
-def stripped(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("text", strip(F.col("text")))
