@@ -142,8 +142,8 @@ def _shared(bits: int, parts: int):
         part = (digest.view(np.uint64) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((digest, part))
         grams, digest, size, df, part = grams[order], digest[order], size[order], df[order], part[order]
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, int)
-        cut_at = [slice(a, b) for a, b in zip(edges, [*edges[1:], len(part)], strict=True)]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        cut_at = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(part) else []
         return pd.DataFrame({"part": [int(part[s.start]) for s in cut_at], "digest": [digest[s].tobytes() for s in cut_at], "n": [size[s].astype(np.uint32).tobytes() for s in cut_at], "gram": [grams[s].tobytes() for s in cut_at], "df": [np.minimum(df[s], 65535).astype(np.uint16).tobytes() for s in cut_at]})
 
     return run

@@ -329,7 +329,10 @@ def unpack_segment(payload: bytes) -> list[np.ndarray]:
     flat = np.empty(0, np.uint32)
     if blocks:
         coded = [payload[b - 2 * int(n) : b] for b, n in zip(ends.tolist(), words, strict=True)]
-        out = decode_blocks(coded, int(sizes[0]), vocab).T
+        try:
+            out = decode_blocks(coded, int(sizes[0]), vocab).T
+        except IndexError as e:  # damaged code words lead out of the tables
+            raise ValueError("token block can't be decoded") from e
         rows = [out[k, : sizes[k]] for k in range(blocks)]
         for row, want in zip(rows, sums, strict=True):
             if zlib.crc32(np.ascontiguousarray(row).astype("<u4").tobytes()) != want:
