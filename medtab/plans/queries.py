@@ -11,6 +11,7 @@ from medtab import dims
 from medtab.operators import classify, evaluate, facts, layout, quality, ranges, report, terms
 from medtab.plans import synth
 from medtab.plans.synth import ITEMS_SQL, table
+from medtab.sources.scratch import kept, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,8 +29,8 @@ def query(sql: str | None = None):
     return add
 
 
-def parsed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.measurements_from_tables(layout.tables_markdown(synth.reports(spark, sf_dir)))
+def parsed_measurements(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    return layout.measurements_from_tables(layout.tables_markdown(synth.reports(spark, sf_dir) if pages is None else pages))
 
 
 _COMPARED = "CASE WHEN l_quantity < lo THEN 'BELOW_REPORTED_REFERENCE_RANGE' WHEN l_quantity > hi THEN 'ABOVE_REPORTED_REFERENCE_RANGE' ELSE 'WITHIN_REPORTED_RANGE' END"
@@ -177,8 +178,8 @@ def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "rule", F.size("concepts").alias("n"))
 
 
-def _finding_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sections_markdown(synth.reports(spark, sf_dir))
+def _finding_sections(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    return layout.sections_markdown(synth.reports(spark, sf_dir) if pages is None else pages)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +187,8 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name", F.element_at(F.split("p_name", " "), 1).alias("adjective"), F.element_at(F.split("p_name", " "), 2).alias("noun")).distinct()
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = _finding_sections(spark, sf_dir).where("title = 'FINDINGS'")
+def _findings(spark: SparkSession, sf_dir: str, sections: DataFrame | None = None) -> DataFrame:
+    sections = (_finding_sections(spark, sf_dir) if sections is None else sections).where("title = 'FINDINGS'")
     names = _names(spark, sf_dir).select(F.lit("generic").alias("rule_set"), F.row_number().over(Window.orderBy("p_name")).alias("position"), F.col("p_name").alias("pattern"))
     routed = facts.route(sections.select("doc_id", F.lit(None).cast("string").alias("report_type")).distinct(), spark.createDataFrame([("order", "generic")], "report_type string, rule_set string"))
     return facts.findings(facts.clauses(sections, ["Interpretation"]), routed, names)
@@ -249,9 +250,9 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages = synth.reports(spark, sf_dir)
-    rows = layout.tables_markdown(pages)
-    signals = classify.signals(layout.sections_markdown(pages), rows, layout.measurements_from_tables(rows), pages.select("doc_id", "text"))
+    pages = kept(synth.reports(spark, sf_dir), "pages")
+    rows, sections = kept(layout.tables_markdown(pages), "table_rows"), kept(layout.sections_markdown(pages), "sections")
+    signals = kept(classify.signals(sections, rows, layout.measurements_from_tables(rows), pages.select("doc_id", "text")), "signals")
     patterns = _signatures(spark, sf_dir)
     found = classify.evidence(signals, patterns)
     return classify.scores(pages, found, patterns, classify.exclusions(signals, patterns)), found
@@ -377,9 +378,10 @@ nf AS (SELECT l_orderkey, count(*) AS n_findings, count(*) FILTER (lead = 'Mild
 SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(n_findings AS INTEGER) AS n_findings, CAST(n_measurements AS INTEGER) AS n_measurements, nf.a + nm.a AS n_abnormal FROM nf JOIN nm USING (l_orderkey)""")
 def final_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final reports of all orders: findings, measurements and abnormal facts."""
-    pages = synth.reports(spark, sf_dir)
-    found = facts.inline_measurements(layout.sections_markdown(pages), parsed_measurements(spark, sf_dir))
-    concepts = facts.concepts(_findings(spark, sf_dir), found)
+    pages = kept(synth.reports(spark, sf_dir), "pages")
+    sections = kept(layout.sections_markdown(pages), "sections")
+    found = facts.inline_measurements(sections, parsed_measurements(spark, sf_dir, pages))
+    concepts = kept(facts.concepts(_findings(spark, sf_dir, sections), found), "concepts")
     classified = pages.select("doc_id", F.lit("order").alias("report_type"), F.lit("CONFIDENT").alias("status"), F.lit(1.0).alias("confidence"))
     out = report.final_reports(classified, concepts, ranges.significance(concepts))
     return out.select("doc_id", F.size("key_findings").alias("n_findings"), F.size("measurements_of_interest").alias("n_measurements"), "n_abnormal")
@@ -391,9 +393,10 @@ x AS (SELECT o_orderstatus AS report_type, o_orderpriority AS status, 1 AS n_doc
 SELECT report_type, status, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(nf) AS BIGINT) AS n_findings, CAST(sum(nm) AS BIGINT) AS n_measurements FROM x GROUP BY ROLLUP (report_type, status)""")
 def fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by order status and priority, with subtotals."""
-    pages = synth.reports(spark, sf_dir)
-    found = facts.inline_measurements(layout.sections_markdown(pages), parsed_measurements(spark, sf_dir))
-    counts = evaluate.fact_counts({"findings": _findings(spark, sf_dir), "measurements": found})
+    pages = kept(synth.reports(spark, sf_dir), "pages")
+    sections = kept(layout.sections_markdown(pages), "sections")
+    found = facts.inline_measurements(sections, parsed_measurements(spark, sf_dir, pages))
+    counts = evaluate.fact_counts({"findings": _findings(spark, sf_dir, sections), "measurements": found})
     kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderstatus").alias("report_type"), F.col("o_orderpriority").alias("status"))
     return evaluate.counts_rollup(counts, kinds.join(pages.select("doc_id"), "doc_id", "left_semi"))
 
@@ -408,13 +411,9 @@ def extract_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake stream over all documents, landed as four files: the last status of each."""
-    import tempfile
-    import uuid
-
     from medtab.streaming import intake
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="medtab-")
-    base = f"{shared.rstrip('/')}/intake-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "intake")
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 50 == 0, "binary").otherwise("plain")
     pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text", kind.alias("fmt"), F.lit("primary").alias("extractor"), F.lit(True).alias("success"), F.lit(0).alias("n_images"), F.array().cast("array<string>").alias("errors"))
