@@ -146,16 +146,17 @@ def _table_rows(blocks: DataFrame, cells: Column, strict_parity: bool) -> DataFr
     whole = Window.partitionBy("doc_id", "page", "block").orderBy("line_no")
     rows = rows.withColumn("row_no", F.row_number().over(whole) - 1).withColumn("headers", F.first("cells").over(whole))
     # one map for each table, not one for each row
-    maps = rows.where("row_no = 0").select("doc_id", "page", "block", column_map(F.col("headers")).alias("m"))
+    maps = rows.where("row_no = 0").select("doc_id", "page", "block", column_map(F.col("headers")).alias("m"), F.transform("headers", lambda h: strip_markup(h)).alias("names"))
     body = rows.where("row_no > 0").join(maps, ["doc_id", "page", "block"])
     clean = F.transform("cells", lambda c: strip_markup(c))
     body = body.withColumn("clean", clean)
     field = lambda f: F.nullif(F.try_element_at("clean", F.col(f"m.{f}") + 1), F.lit(""))
     used = F.array_compact(F.array(*(F.col(f"m.{f}") for f in FIELDS)))
-    spare = F.filter(F.transform(F.slice("clean", F.lit(1), F.size("headers")), lambda c, i: F.struct(strip_markup(F.element_at("headers", i + 1)).alias("k"), c.alias("v"), i.alias("i"))),
+    spare = F.filter(F.transform(F.slice("clean", F.lit(1), F.size("headers")), lambda c, i: F.struct(F.element_at("names", i + 1).alias("k"), c.alias("v"), i.alias("i"))),
                      lambda s: (s["v"] != "") & ~F.array_contains(used, s["i"]))
+    body = body.withColumn("spare", spare)
     # of equal headers the last cell counts
-    last = F.filter(spare, lambda s: ~F.exists(spare, lambda o: (o["k"] == s["k"]) & (o["i"] > s["i"])))
+    last = F.filter("spare", lambda s: ~F.exists("spare", lambda o: (o["k"] == s["k"]) & (o["i"] > s["i"])))
     extra = F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"])))
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "block"))
     return body.select("doc_id", "page", number.alias("table_no"), "row_no", "title", "headers", "cells", *(field(f).alias(f) for f in FIELDS), extra.alias("extra"))
