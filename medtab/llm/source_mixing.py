@@ -99,6 +99,8 @@ def mix(docs: DataFrame, keep: list[str], targets: dict[str, DataFrame] | None =
     and is kept whole. An empty table stays empty.
     """
     rows = placed(docs, keep)
+    if "text" not in keep:  # narrow rows: measured once and kept, not once for the cells and again for the sample
+        rows = cut(rows, "placed")
     cells = rows.groupBy(*(F.col(f"m_{m}").alias(m) for m in MARGINS)).agg(F.sum("m_tokens").alias("tokens"))
     cells = cut(cells, "mixcells")
     p = calibrate(rake(cells, targets), budget).select(*(F.col(m).alias(f"m_{m}") for m in MARGINS), "p")
