@@ -18,7 +18,7 @@ from medtab.llm.common import ascii_lower, cut
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rarest terms of a window whose postings are intersected.
 ANCHORS = 2
-#: Bytes of one side up to which it is broadcast; larger ones are joined by a shuffle.
+#: Counted rows of a side up to which it is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
