@@ -30,8 +30,10 @@ from medtab.llm.common import scratch_path
 
 #: Format: magic and header (version, vocabulary size, ids a block, documents, blocks).
 MAGIC, HEADER = b"MTOK", struct.Struct("<4sIIIQI")
-#: Ids in a block, ids in a segment, slots of a prediction table, ids between two renewals of the frequencies.
+#: Most ids in a block, ids in a segment, slots of a prediction table, ids between two renewals of the frequencies.
 BLOCK_IDS, SEGMENT_IDS, SLOTS, RENEW = 4096, 4_000_000, 2048, 128
+#: Blocks of a segment below which blocks get shorter, down to so many ids.
+LANES, LEAST_BLOCK = 500, 256
 #: Bits of a probability, of the adaptive weights' speed, and low-part contexts.
 SCALE, SPEED, LOW_CONTEXTS = 14, 5, 4
 #: Pieces that a worker keeps with their ids.
@@ -296,20 +298,22 @@ def decode_blocks(coded: list[bytes], length: int, vocab: int) -> np.ndarray:
 def pack_segment(docs: list[np.ndarray], vocab: int) -> bytes:
     """A segment of whole documents (their ids) as bytes."""
     flat = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    blocks = -(-len(flat) // BLOCK_IDS)
-    length = min(BLOCK_IDS, len(flat))
+    # a small segment has shorter blocks: the coder's steps are as many as a block has ids, whatever the lanes
+    block = min(BLOCK_IDS, max(LEAST_BLOCK, -(-len(flat) // LANES)))
+    blocks = -(-len(flat) // block)
+    length = min(block, len(flat))
     lengths = zlib.compress(np.array([len(d) for d in docs], np.uint64).tobytes(), 1)
     coded, sums, sizes = [], [], []
     if blocks:
-        padded = np.zeros(blocks * length if blocks == 1 else blocks * BLOCK_IDS, np.uint32)
+        padded = np.zeros(blocks * length, np.uint32)
         padded[: len(flat)] = flat
         coded = encode_blocks(np.ascontiguousarray(padded.reshape(blocks, -1).T), vocab)
         for k in range(blocks):
-            own = flat[k * BLOCK_IDS : (k + 1) * BLOCK_IDS]
+            own = flat[k * block : (k + 1) * block]
             sizes.append(len(own))
             sums.append(zlib.crc32(own.astype("<u4").tobytes()))
     index = np.array([sizes, [len(c) // 2 for c in coded], sums], "<u4").tobytes()
-    return HEADER.pack(MAGIC, 1, vocab, BLOCK_IDS, len(docs), blocks) + struct.pack("<I", len(lengths)) + lengths + index + b"".join(coded)
+    return HEADER.pack(MAGIC, 1, vocab, block, len(docs), blocks) + struct.pack("<I", len(lengths)) + lengths + index + b"".join(coded)
 
 
 def unpack_segment(payload: bytes) -> list[np.ndarray]:
