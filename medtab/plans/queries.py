@@ -111,11 +111,14 @@ def sections_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "section_no", "title", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
-h AS (SELECT doc_id, k, x, regexp_matches(trim(x), '^[A-Z][A-Z0-9\\s\\-/&():,.]+$') AND length(trim(x)) > 4 AS head FROM l)
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (head) AS n_titles FROM h GROUP BY doc_id HAVING count(*) FILTER (head) > 0""".replace("\\\\", "\\"))
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k FROM documents),
+y AS (SELECT doc_id, CASE WHEN k % 3 = 0 THEN 'A' || upper(regexp_replace(x, '[^A-Za-z ]', '', 'g')) ELSE x END AS y FROM l),
+h AS (SELECT doc_id, regexp_matches(trim(y), '^[A-Z][A-Z0-9\s\-/&():,.]+$') AND length(trim(y)) > 4 AS head FROM y)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (head) AS n_titles FROM h GROUP BY doc_id HAVING count(*) FILTER (head) > 0""")
 def sections_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text")
+    """Documents every third line of which is put in capitals."""
+    loud = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("A"), F.upper(F.regexp_replace(x, "[^A-Za-z ]", "")))).otherwise(x))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.array_join(loud, "\n").alias("text"))
     return layout.sections_plain(docs).groupBy("doc_id").agg(F.count("title").alias("n_titles")).where("n_titles > 0")
 
 
