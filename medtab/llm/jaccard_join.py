@@ -28,6 +28,8 @@ from medtab.llm.components import components
 
 #: Bits of a gram hash; the top BUCKET_BITS or more of them choose the bucket that counts it.
 GRAM_BITS, BUCKET_BITS = 54, 6
+#: Grams of a bucket, which one task holds.
+BUCKET_GRAMS = 2_500_000
 #: Sets in a block of the tree join, and minimum hashes that choose the blocks of the first pass.
 BLOCK, MIN_HASHES = 512, 2
 #: Sets before it in a block with which the first pass compares a set: half are the block's first, which hold most of what
@@ -310,18 +312,19 @@ def document_classes(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_classes(n), "doc_id long, n long, digest long")
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """``(node long, comp long)`` over class digests that link with another class (see the module's docstring)."""
-    rows = docs.count()
+def link_components(docs: DataFrame, total: int, n: int = 5, percent: int = 75) -> DataFrame:
+    """``(node long, comp long)`` over class digests that link with another class (see the module's docstring).
+
+    ``total`` is the number of grams of all documents; buckets are as many as keep each to about BUCKET_GRAMS of them.
+    """
     bits = BUCKET_BITS
-    while rows >> bits > 8000:
+    while total >> bits > BUCKET_GRAMS:
         bits += 1
     parts = 1 << bits
     packed = docs.select("text").mapInArrow(_postings(n, bits), "bucket long, hi binary, lo binary, digest binary, n binary, count binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared(bits, parts), "part long, digest binary, n binary, gram binary, df binary")
     able = cut(shared.groupBy("part").applyInPandas(_candidates(percent), "digest long, n long, prefix array<long>, grams binary, keys array<long>"), "able")
-    total = able.count()
-    bundles = max(16, total // 1000)
+    bundles = max(16, able.count() // 1000)
 
     keyed = able.select("digest", F.posexplode("keys").alias("m", "key"))
     many = keyed.groupBy("m", "key").count().where("count > 1").select("m", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("salts"))
@@ -378,7 +381,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     compared by 54-bit hashes of their grams and classes by 64-bit digests.
     """
     cls = cut(document_classes(docs, n), "classes")
-    links = link_components(docs, n, percent)
+    links = link_components(docs, cls.agg(F.sum("n")).first()[0] or 0, n, percent)
     root = cls.groupBy("digest").agg(F.min("doc_id").alias("low")).where("digest is not null")
     root = root.join(links.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     low = root.groupBy("comp").agg(F.min("low").alias("component_id"))
