@@ -280,8 +280,11 @@ def class_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id, event_type AS name, CAST(value AS VARCHAR) AS value_raw, value AS value_num, 'mm' AS unit FROM events WHERE value >= 0.01""")
 def inline_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as lines "type: value mm", one text a user."""
-    ev = table(spark, sf_dir, "events").where("value >= 0.01").select(F.col("user_id").cast("string").alias("doc_id"), F.concat(F.col("event_type"), F.lit(": "), F.col("value").cast("string"), F.lit(" mm")).alias("line"), "event_id")
+    """Events written as lines "type: value mm", one text a user; all events, also those below 0.01 that the SQL leaves out."""
+    # without an exponent wherever DuckDB writes none
+    plain = F.regexp_replace(F.col("value").cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    value = F.when(F.abs("value").between(1e-4, 1e-3) | ((F.abs("value") >= 1e7) & (F.abs("value") < 1e16)), plain).otherwise(F.col("value").cast("string"))
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.concat(F.col("event_type"), F.lit(": "), value, F.lit(" mm")).alias("line"), "event_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda s: s["line"]), "\n")
     sections = ev.groupBy("doc_id").agg(text.alias("text")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("section_no"), F.lit("Events").alias("title"), "text")
     return facts.inline_measurements(sections).select("doc_id", "name", "value_raw", "value_num", "unit")
