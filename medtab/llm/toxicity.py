@@ -19,9 +19,12 @@ from medtab.llm.sampling import labelled_sample
 
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans("асеорхуіјѕԁһԛԝαεορτυνικ", "aceopxyijsdhqwaeoptuvik")
-#: Digits and signs written for letters; folded only right before a letter.
+#: Digits and signs written for letters; folded in words that also hold a letter, but for one letter and one
+#: digit ("x3").
 SUBSTITUTES = str.maketrans("013457@$", "oieastas")
-_BEFORE_LETTER = re.compile(r"[013457@$](?=[^\W\d_])")
+#: A word, with the signs in it, from its start where it holds a substitute; what stays as it is.
+_SPELT = re.compile(r"(?:(?<![\w@$])|(?<=_))[^\W_013457]*+[013457@$](?:[^\W_]++|[@$]++)*+")
+_PLAIN = re.compile(r"[\W\d]+|[^\W\d_]\d")
 _WORD = re.compile(r"[^\W_]+")
 #: Bound of the training sample; shortest and longest word beginnings tried as lexicon entries.
 SAMPLE, SHORTEST, LONGEST = 6000, 3, 9
@@ -34,8 +37,7 @@ def folded(text: str | None) -> str:
     t = unicodedata.normalize("NFKC", text or "").casefold()
     if not t.isascii():
         t = t.translate(LOOKALIKES)
-    for _ in range(2):
-        t = _BEFORE_LETTER.sub(lambda m: m[0].translate(SUBSTITUTES), t)
+    t = _SPELT.sub(lambda m: m[0] if _PLAIN.fullmatch(m[0]) else m[0].translate(SUBSTITUTES), t)
     return f" {' '.join(_WORD.findall(t))} "
 
 

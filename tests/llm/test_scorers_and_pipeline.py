@@ -62,6 +62,14 @@ def test_folding_exceptions_and_length():
     assert lex.measures(folded("bad " + "x " * 500), a)[1] < lex.measures(folded("bad x"), a)[1]
 
 
+def test_substitutes_anywhere_in_a_word():
+    assert folded("L053R 5h17, a$$ a55; 1d107 m0r0n p@t@ _4ss_ $h17$") == " loser shit ass ass idiot moron pata ass shits "
+    assert folded("x3 2024 $100 3.14 @ 50% 7") == " x3 2024 100 3 14 50 7 "
+    assert folded("0a" * 40000) == f" {'oa' * 40000} " and folded("a" * 80000) == f" {'a' * 80000} "
+    lex = Lexicon({" loser ": 2.0, " shit ": 2.0, " ass ": 2.0})
+    assert all(lex.measures(folded(f"what {w} they are"), lex.automaton())[2] == 2.0 for w in ("l053r", "5h17", "a$$"))
+
+
 def test_learned_lexicon_finds_words():
     rng = np.random.default_rng(0)
     rows = []
