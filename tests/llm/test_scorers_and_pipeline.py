@@ -89,6 +89,22 @@ def test_language_model_needs_no_rows():
     assert m.classes == ["und"] and m.scores(["abc", None, ""]).shape == (3, 1)
 
 
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda p, n=60: " ".join(f"{p}{i}" for i in range(n))
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    rows = [(1, a), (1, a), (1, a), (2, a.replace("a59", "zz")), (None, a), (None, b), (None, b), (None, c), (3, d), (3, text("e")), (1, text("f")), (4, None), (4, None), (None, ""), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], kind)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (None, b), (None, c), (3, d), (3, text("e")), (1, text("f")), (4, None), (4, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+    spark.createDataFrame([(1, text("b", 20)), (2, text("d", 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([r for r in rows if r[1] not in (b, d)], key=str)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     n, seen = docs.count(), [docs]
