@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from medtab.llm import token_store
+from medtab.llm import jaccard_join, token_store
 from medtab.llm.components import components
 from medtab.llm.jaccard_join import FlatTrie, jaccard_components
 
@@ -69,6 +69,43 @@ def test_join_of_drifting_groups(spark):
     assert got == brute(rows)
 
 
+def test_grams_that_every_class_holds_travel_apart(spark, monkeypatch):
+    """With one passage in every text, its grams are hot; the result is the same and their postings stand in no bucket."""
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for d in range(160):
+        own = [f"z{v}" for v in rng.integers(0, 10**6, int(rng.integers(2, 30)))] if d % 4 else [f"k{d % 12}{i}" for i in range(9)]
+        rows.append((d, f"{passage} {' '.join(own)}"))
+    rows += rows[:3] + [(500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 8)
+    monkeypatch.setattr(jaccard_join, "HOT_POSTINGS", 50)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    classes = jaccard_join.document_classes(docs)
+    hot = jaccard_join._classes(5)  # the tasks count with the default bound, so count here
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    last = list(hot(iter([batch])))[-1]
+    grams = np.sort(np.array([x["gram"] for x in last.column(3)[0].as_py() if x["count"] >= 50], np.uint64))
+    assert len(grams) == 26
+    packed = list(jaccard_join._postings(5, 6, grams)(iter([batch.select(["text"])])))
+    buckets = [x for b in packed for x in b.column(0).to_pylist()]
+    assert min(buckets) < 0 <= max(buckets)
+    total = classes.where("n >= 0").agg({"n": "sum"}).first()[0]
+    for chosen in (grams, None):
+        links = {r.node: r.comp for r in jaccard_join.link_components(docs, total, hot=chosen).collect()}
+        root: dict = {}
+        for r in classes.where("n > 0").collect():
+            root.setdefault(links.get(r.digest, r.digest), set()).add(r.doc_id)
+        want: dict = {}
+        for d, n, c in brute(rows):
+            if n:
+                want.setdefault(c, set()).add(d)
+        assert sorted(map(sorted, root.values())) == sorted(map(sorted, want.values()))
+
+
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=12), st.sets(st.integers(0, 30), min_size=1))
 @settings(max_examples=60, deadline=None)
 def test_trie_walk_finds_all_links(sets, probe):
@@ -112,4 +149,9 @@ def test_token_files(spark, docs, clashing, no_docs):
         at += len(ids)
     for df in (docs, clashing, docs.repartition(7)):
         assert sorted(map(tuple, token_store.token_digest(df, PATH).collect())) == want
+    odd = docs.unionByName(docs.limit(2)).selectExpr("nullif(doc_id, 3) as doc_id", "text")
+    got = token_store.token_digest(odd, PATH).orderBy("start").collect()
+    assert len(got) == 14 and [r.doc_id for r in got][0] is None and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+    by_text = {r.text: n for r, (_, _, n, _) in zip(sorted(docs.collect(), key=lambda r: r.doc_id), want, strict=True)}
+    assert sorted(r.n_tokens for r in got) == sorted(by_text[r.text] for r in odd.collect())
     assert token_store.token_digest(no_docs, PATH).count() == 0
