@@ -3,8 +3,9 @@
 The index stores postings (term, document, position) of the training documents, for terms that occur in a benchmark
 window. Document frequencies come from those postings. For each window the postings of its rarest terms are fetched, each
 moved back by the term's offset in the window, and intersected on (document, window, start): what remains are places where
-these terms stand as in the window. Full windows are then compared word by word there, which gives exact phrase matches;
-``slop`` above 0 instead gives proximity matches of the rarest terms.
+these terms stand as in the window. Full windows are then compared word by word there, which gives exact phrase matches.
+With ``slop`` above 0 the lists meet where they come within so many words of each other, and a place matches where every
+term of the window, as often as it has it, stands in the window's span stretched by so many words on both sides.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ def anchors(wins: DataFrame, index: DataFrame, count: int = ANCHORS) -> DataFram
 def intersect(index: DataFrame, picks: DataFrame, count: int = ANCHORS, slop: int = 0) -> DataFrame:
     """``(doc_id, win, start)`` where the offset-adjusted postings of a window's rarest terms meet.
 
-    With ``slop`` above 0 the lists need only come within that many words of the rarest term's.
+    With ``slop`` above 0 the lists need only come within twice that many words of the rarest term's: each of two terms may
+    be off by that many.
     """
     picks = cut(picks.select("win", "rank", "off", "term"), "picks")
     n = picks.count()
@@ -74,7 +76,7 @@ def intersect(index: DataFrame, picks: DataFrame, count: int = ANCHORS, slop: in
         has = found.join(small(need, n), "win")
         more, done = has.where(F.col("need") >= k).drop("need"), has.where(F.col("need") < k).drop("need")
         if slop:
-            near = more.join(other, ["doc_id", "win"]).where(F.abs(F.col("at") - F.col("start")) <= slop).select("doc_id", "win", "start").distinct()
+            near = more.join(other, ["doc_id", "win"]).where(F.abs(F.col("at") - F.col("start")) <= 2 * slop).select("doc_id", "win", "start").distinct()
         else:
             near = more.join(other.withColumnRenamed("at", "start").distinct(), ["doc_id", "win", "start"])
         found = near.unionByName(done)
@@ -82,21 +84,29 @@ def intersect(index: DataFrame, picks: DataFrame, count: int = ANCHORS, slop: in
 
 
 def match_windows(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Matches ``(doc_id, win, start, len)`` and the windows ``(item_id, win, terms)`` they belong to."""
+    """Matches ``(doc_id, win, start, len)`` and the windows ``(item_id, win, terms)`` they belong to.
+
+    With ``slop`` above 0 these are proximity matches; ``start`` is then where the window would start by its rarest term, and
+    may be under 0.
+    """
     wins = cut(windows_of(items, size), "windows")
     unique = wins.select("win", "terms").dropDuplicates(["win"])
     index = build_index(docs, unique.select(F.explode("terms").alias("term")).distinct())
     spots = intersect(index, anchors(unique, index), slop=slop)
-    if slop:
-        lengths = unique.select("win", F.size("terms").alias("len"))
-        return spots.join(lengths, "win").select("doc_id", "win", "start", "len"), wins
     spots = cut(spots, "spots")
-    # an exact check against the documents that have a spot
+    # a check against the documents that have a spot, over the words of the span around it
     held = spots.groupBy("doc_id").agg(F.collect_set(F.struct("start", "win")).alias("spots"))
     texts = docs.select("doc_id", "text").join(held, "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
-    found = texts.select("doc_id", F.explode(F.transform("spots", lambda s: F.struct(
-        s["start"].alias("start"), s["win"].alias("win"), F.slice("words", s["start"] + 1, size).alias("ten")))).alias("s")).select("doc_id", "s.*")
-    exact = found.join(small(unique, unique.count()), "win").where(F.slice("ten", 1, F.size("terms")) == F.col("terms"))
+    span = lambda s: F.slice("words", F.greatest(s["start"] - slop, F.lit(0)) + 1, F.least(s["start"] - slop, F.lit(0)) + size + 2 * slop)
+    found = texts.select("doc_id", F.explode(F.transform(F.filter("spots", lambda s: s["start"] + size + slop > 0), lambda s: F.struct(
+        s["start"].alias("start"), s["win"].alias("win"), span(s).alias("span")))).alias("s")).select("doc_id", "s.*")
+    found = found.join(small(unique, unique.count()), "win")
+    if slop:
+        times = lambda words, t: F.size(F.filter(words, lambda w: w == t))
+        near = F.slice("span", 1, F.greatest(F.size("terms") + F.least(F.col("start") - slop, F.lit(0)) + 2 * slop, F.lit(0)))
+        exact = found.where(F.size(near) > 0).withColumn("near", near).where(F.forall("terms", lambda t: times(F.col("near"), t) >= times(F.col("terms"), t)))
+    else:
+        exact = found.where(F.slice("span", 1, F.size("terms")) == F.col("terms"))
     return exact.select("doc_id", "win", "start", F.size("terms").alias("len")).distinct(), wins
 
 
