@@ -17,8 +17,10 @@ MARGINS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 #: Rounds of raking, rounds of scaling, and the share of all tokens to keep.
 SWEEPS, SCALINGS, BUDGET = 12, 6, 0.6
-#: What a null source or language is called.
-NONE = "(none)"
+#: Sweeps go on past SWEEPS while a margin misses its target by more than this share of all tokens, up to so many.
+TOLERANCE, MOST_SWEEPS = 1e-3, 48
+#: What a null source or language is called; others stand behind a sign, so that none is called so.
+NONE, SIGN = "(none)", "="
 
 
 def topic_of(text: Column) -> Column:
@@ -38,17 +40,34 @@ def placed(docs: DataFrame, keep: list[str], topic: Column | None = None, tokens
     """Columns ``keep`` with each document's margins (``m_<name>``) and tokens (``m_tokens``)."""
     topic = topic_of(F.col("text")) if topic is None else topic
     tokens = token_count(F.col("text")) if tokens is None else tokens
-    margins = [F.coalesce("source", F.lit(NONE)).alias("m_source"), F.coalesce("lang", F.lit(NONE)).alias("m_lang"), topic.alias("m_topic")]
+    named = lambda c: F.coalesce(F.concat(F.lit(SIGN), c), F.lit(NONE)).alias(f"m_{c}")
+    margins = [named("source"), named("lang"), topic.alias("m_topic")]
     return docs.select(*keep, *margins, tokens.alias("m_tokens"))
 
 
+def margin_errors(raked: DataFrame) -> DataFrame:
+    """``(margin, value, target, share, error)`` of raked cells: what each margin value should and does have of all weight.
+
+    Targets that no cell can meet (a value without tokens) show here.
+    """
+    out = None
+    for m in MARGINS:
+        sums = raked.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"t_{m}").alias("target"), F.sum("w").alias("w"))
+        out = sums if out is None else out.unionByName(sums)
+    whole = raked.agg(F.sum("w")).first()[0] or 0.0
+    share = F.col("w") / F.lit(whole) if whole else F.lit(0.0)
+    return out.select("margin", "value", "target", share.alias("share"), (share - F.col("target")).alias("error"))
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` with their raked weight ``w``, which sums to the cells' tokens.
 
     A target is a table ``(value, share)`` of a margin; values it lacks get none, and shares are scaled to sum to 1. A
-    margin without a table has its token shares flattened by FLATTEN. The cells are few (distinct combinations), and each
-    step is a window over one margin.
+    margin without a table has its token shares flattened by FLATTEN. Nulls of a margin are one group, called NONE. The cells are few (distinct combinations), and each
+    step is a window over one margin. Sweeps go on while ``margin_errors`` exceed TOLERANCE, MOST_SWEEPS at most: margins that
+    contradict each other or the cells are then met as nearly as the last sweep does.
     """
+    cells = cells.withColumns({m: F.coalesce(m, F.lit(NONE)) for m in MARGINS})
     out = cells
     for m in MARGINS:
         if targets and m in targets:
@@ -63,12 +82,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
             out = out.join(sums, m)
     out = cut(out.withColumn("w", F.col("tokens").cast("double")), "cells")
     whole = cells.agg(F.sum("tokens")).first()[0] or 0
-    for k in range(sweeps):
-        for m in MARGINS:
-            had = F.sum("w").over(Window.partitionBy(m))
-            out = out.withColumn("w", F.when(had > 0, F.col("w") * F.col(f"t_{m}") * F.lit(float(whole)) / had).otherwise(0.0))
-        if k % 4 == 3:
-            out = cut(out, "raked")
+    k = 0
+    while k < sweeps or (whole and k < MOST_SWEEPS and (margin_errors(out).agg(F.max(F.abs("error"))).first()[0] or 0) > TOLERANCE):
+        for _ in range(4):
+            for m in MARGINS:
+                had = F.sum("w").over(Window.partitionBy(m))
+                out = out.withColumn("w", F.when(had > 0, F.col("w") * F.col(f"t_{m}") * F.lit(float(whole)) / had).otherwise(0.0))
+        out, k = cut(out, "raked"), k + 4
     return out
 
 
