@@ -43,6 +43,21 @@ def test_proximity(spark):
     assert sorted({r.doc_id for r in near.collect()}) == [1, 2]
 
 
+def test_proximity_looks_at_the_whole_phrase(spark):
+    phrase = [f"t{i}" for i in range(10)]
+    filler = [f"x{i}" for i in range(30)]
+    moved = phrase[:4] + ["y"] + phrase[5:3:-1] + phrase[6:]
+    texts = [phrase, filler + moved + filler, filler[:5] + phrase[:2] + filler, phrase[:9] + filler, phrase[:5] + filler + phrase[5:], moved[::-1], [], phrase[:5] + ["t0", "t0"] + phrase[5:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(phrase))], "item_id long, text string")
+    near, _ = decontaminate.match_windows(docs, items, slop=2)
+    assert sorted({r.doc_id for r in near.collect()}) == [0, 1, 7]
+    wide, _ = decontaminate.match_windows(docs, items, slop=10)
+    assert sorted({r.doc_id for r in wide.collect()}) == [0, 1, 5, 7]
+    exact, _ = decontaminate.match_windows(docs, items)
+    assert {(r.doc_id, r.start) for r in exact.collect()} == {(0, 0)}
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in rng.normal(0, 0.1, 40) * rng.choice([0.1, 1, 3])]) for i in range(300)]
@@ -77,6 +92,40 @@ def test_rollup_is_idempotent_and_signed(spark):
     assert state.batches() == [1, 2, 3]
 
 
+def test_rollup_carries_batches_into_a_base(spark):
+    path = scratch_path(spark, "t")
+    state = token_rollup.Rollup(spark, path, compact=3)
+    kind = "struct<source:string,lang:string,version:string,tokens:bigint>"
+    insert = lambda k: spark.createDataFrame([(None, ("s", "en", "v", k))], f"before {kind}, after {kind}")
+    for k in (5, 1, 9, 2, 7, 4, 3):
+        assert state.commit(k, insert(k))
+    assert [tuple(r) for r in state.totals().collect()] == [("s", "en", "v", 7, 31)] and state.batches() == [1, 2, 3, 4, 5, 7, 9]
+    assert not any(state.commit(k, insert(k)) for k in (5, 9, 7, 3)) and len(state._numbers("base")) == 1 and len(state._numbers("batch")) < 3
+    # a base whose job died has no marker; batches of a base that were not removed yet count once
+    (spark.read.schema(token_rollup.TOTALS + ", batch long").parquet(f"{path}/base={state._numbers('base')[0]}").write.parquet(f"{path}/base=99"))
+    at, fs = state._fs(f"{path}/base=99/_SUCCESS")
+    fs.delete(at, False)
+    token_rollup.signed(insert(5)).write.parquet(f"{path}/batch=5")
+    assert [tuple(r) for r in state.totals().collect()] == [("s", "en", "v", 7, 31)] and not state.commit(5, insert(5))
+
+
+def test_rollup_edges(spark, docs, clashing, no_docs):
+    want = sorted(map(tuple, token_rollup.replay(docs).collect()), key=str)
+    assert sorted(map(tuple, token_rollup.replay(clashing).collect()), key=str) == want and sum(r[3] for r in want) > 0
+    assert token_rollup.replay(no_docs).count() == 0
+
+
+def test_counts_by_a_tokenizer_file(spark, docs, no_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.version, r.tokens) for r in token_rollup.counted_by(docs, path, "bpe").collect()}
+    assert got == {r.doc_id: ("bpe", len(ref.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()}
+    assert token_rollup.counted_by(no_docs, path, "bpe").count() == 0
+
+
 def test_counts_of_null_and_empty(spark, docs):
     got = {(r.doc_id, r.version): r.tokens for r in token_rollup.counted(docs).collect()}
     assert got[4, "words-1"] == 0 and got[5, "words-1"] == 0 and got[1, "words-1"] == 60 and got[7, "runs-2"] == 2
@@ -92,6 +141,22 @@ def test_raked_weights_meet_the_margins(spark):
     assert abs((p.p * p.tokens).sum() - 0.05 * 1007) < 0.5 and p.p.between(0, 1).all() and p[p.tokens == 0].p.eq(1).all()
 
 
+def test_sweeps_go_on_until_the_margins_are_met(spark):
+    tokens = iter([5000, 3, 40, 700, 90, 2, 1, 1200, 10, 8, 300, 6])
+    cells = spark.createDataFrame([(s, g, t, next(tokens)) for s in ("a", "b", None) for g in ("en", "fr") for t in ("x", "y")], "source string, lang string, topic string, tokens long")
+    out = source_mixing.rake(cells, sweeps=4)
+    errors = source_mixing.margin_errors(out).toPandas()
+    assert len(errors) == 7 and errors.error.abs().max() <= source_mixing.TOLERANCE and abs(errors[errors.margin == "lang"].share.sum() - 1) < 1e-9
+    gone = source_mixing.rake(cells.where("source is not null"), {"source": spark.createDataFrame([("nobody", 1.0)], "value string, share double")}, sweeps=4)
+    assert gone.agg(F.sum("w")).first()[0] == 0
+    assert source_mixing.margin_errors(source_mixing.rake(cells.limit(0))).count() == 0
+
+
+def test_null_groups_are_apart_from_names_like_theirs(spark):
+    rows = spark.createDataFrame([(1, "a b", None, None), (2, "a b", "(none)", "(none)")], "doc_id long, text string, lang string, source string")
+    assert source_mixing.placed(rows, ["doc_id"]).select("m_source", "m_lang").distinct().count() == 2
+
+
 def test_mix_edges(spark, docs, clashing, no_docs):
     keep = ["doc_id", "text"]
     got = sorted(r.doc_id for r in source_mixing.mix(docs, keep).collect())
@@ -107,4 +172,6 @@ def test_url_intervals(spark):
     caps = spark.createDataFrame([(1, "http://www.BAD.com:80/x", day(5)), (2, "http://bad.com/", day(10)), (3, "https://u:p@a.ok.bad.com./", day(6)), (4, "bad.com", day(6)), (5, None, day(6)), (6, "http://bad.com", None), (7, "http://bad.com", day(25)), (7, "http://bad.com", day(25)), (8, "http://bad.com", day(4))], "page_id long, url string, fetched date")
     got = {r.page_id: (r.decision, r.rule, r.n_active, r.n_rows) for r in url_filter.evaluate(caps, entries).collect()}
     assert got == {1: ("block", "bad.com", 1, 1), 2: ("allow", None, 0, 1), 3: ("allow", "ok.bad.com", 2, 1), 4: ("allow", None, 0, 1), 5: ("allow", None, 0, 1), 6: ("allow", None, 0, 1), 7: ("block", "bad.com", 1, 2), 8: ("allow", None, 0, 1)}
+    odd = url_filter.evaluate(caps.withColumns({c: F.lit("z") for c in ("key", "action", "since", "decision", "rule")}), entries).collect()
+    assert {r.page_id: (r.decision, r.rule, r.n_active, r.n_rows) for r in odd} == got
     assert url_filter.evaluate(caps.limit(0), entries).count() == 0 and url_filter.evaluate(caps, entries.limit(0)).where("decision = 'block'").count() == 0
