@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medtab.llm.common import fold
+from medtab.llm.sampling import within_bytes
 
 #: Slots of the hashed table, embedding width, and the character n-gram lengths.
 SLOTS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3)
@@ -75,6 +76,10 @@ class LanguageModel:
         padded = np.vstack([self.table, np.zeros((1, len(self.classes)))]).astype(np.float32)
         self.columns = [np.ascontiguousarray(padded[:, c]) for c in range(len(self.classes))]
 
+    def __getstate__(self) -> dict:
+        """What tasks need: the single-precision columns, not the table they come from."""
+        return self.__dict__ | {"table": None}
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -122,7 +127,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]
     rows = docs.where("lang is not null").where(fold("doc_id", 5) != 0)
     share = min(1.0, sample / max(1, rows.count()))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).where("length(text) > 0")
-    return sorted((r.text, r.lang) for r in picked.select("text", "lang").limit(2 * sample).collect())
+    return sorted((r.text, r.lang) for r in within_bytes(picked.select("doc_id", "text", "lang").limit(2 * sample)).collect())
 
 
 def _score(model: LanguageModel):

@@ -18,42 +18,52 @@ from medtab.llm.toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: rules learned outside the held-out fold, scored as one column expression."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of the documents after a history of inserts, deletes and revisions."""
     return token_rollup.replay(table(spark, sf_dir, "documents"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents kept when sources, languages and topics are raked to their target weights."""
     return source_mixing.sampled(table(spark, sf_dir, "documents"))
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active when it was fetched."""
     return url_filter.filtered_pages(table(spark, sf_dir, "pages"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the learned lexicon."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
     return language_id(table(spark, sf_dir, "documents"))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and described document by document."""
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items they come from."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FINE = 1 << 30
+#: Bytes of text of a training sample.
+SAMPLE_BYTES = 64_000_000
+
+
+def within_bytes(rows: DataFrame, most: int = SAMPLE_BYTES) -> DataFrame:
+    """Of a sample ``(doc_id, text, ...)``, few rows already, as many as hold ``most`` bytes of text, by a hash of the id."""
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(29)), F.xxhash64("text"))
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__upto", upto).where(F.col("__upto") <= most).drop("__upto")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medtab.llm.common import fold
-from medtab.llm.sampling import labelled_sample
+from medtab.llm.sampling import labelled_sample, within_bytes
 
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans("асеорхуіјѕԁһԛԝαεορτυνικ", "aceopxyijsdhqwaeoptuvik")
@@ -102,9 +102,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """Lexicon from one half of the rows, exceptions and calibration from the other."""
+    """Lexicon from one half of the rows; exceptions from it and a quarter, calibration from the last quarter."""
     texts = [(folded(t), int(y > 0)) for t, y in rows]
-    mine, tune = texts[::2], texts[1::2]
+    mine, seen, tune = texts[::2], texts[::2] + texts[1::4], texts[3::4]
     toxic = sum(y for _, y in mine)
     if not toxic or toxic == len(mine) or not tune:
         return Lexicon({}, [], (-9.0, 0.0, 0.0, 0.0))
@@ -129,7 +129,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     a = lexicon.automaton()
     good: Counter[str] = Counter()
     bad: set[str] = set()
-    for t, y in texts:
+    for t, y in seen:
         found = set()
         for end, (n, _) in (a.iter(t) if len(a) else ()):
             at = end - n + 1
@@ -168,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int =
     scored alike; further columns are ignored.
     """
     picked = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", fold("doc_id", 3) != 1, sample)
-    rows = sorted((r.doc_id, r.text or "", r.label) for r in picked.select("doc_id", "text", "label").collect())
+    rows = sorted((r.doc_id, r.text or "", r.label) for r in within_bytes(picked.select("doc_id", "text", "label")).collect())
     lexicon = learn([(t, y) for _, t, y in rows])
     scored = docs.select("doc_id", "text").mapInArrow(_score(lexicon), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

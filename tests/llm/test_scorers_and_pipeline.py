@@ -84,6 +84,55 @@ def test_learned_lexicon_finds_words():
     assert " moron " in lex.weights and lex.score(lex.measures(folded("a moron"), a)) > 0.7 > lex.score(lex.measures(folded("a n5"), a))
 
 
+def test_automaton_equals_plain_search(spark):
+    """Scores over whole texts against a search of every entry at every place, exceptions taken out one by one."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("text", "toxic").orderBy("doc_id").collect()
+    lex = learn_lexicon([(r.text or "", r.toxic) for r in rows if r.toxic is not None])
+    assert lex.weights
+    some = sorted(lex.weights)[:3]
+    lex.exceptions = lex.exceptions + [f" fine{w}" for w in some if w.endswith(" ")] + [f"{w.rstrip()}x " for w in some]
+    a = lex.automaton()
+    texts = [r.text for r in rows[:150]] + [None, "", " ".join(some * 3), " ".join(f"fine{w}" for w in some), "0" * 50_000, " ".join(some) * 2000]
+    for raw in texts:
+        t = folded(raw)
+        spans = [(i, i + len(p) - 1) for p in lex.exceptions for i in range(len(t)) if t.startswith(p, i)] if len(t) < 20_000 else None
+        if spans is None:
+            continue
+        best = {}
+        for term, w in lex.weights.items():
+            for i in range(len(t)):
+                if t.startswith(term, i) and not any(x <= i and i + len(term) - 1 <= y for x, y in spans):
+                    best[i] = max(best.get(i, 0.0), w)
+        total = sum(best.values())
+        want = (np.log1p(total), np.log1p(100 * total / max(1, t.count(" ") - 1)), max(best.values(), default=0.0))
+        assert np.allclose(lex.measures(t, a), want)
+
+
+def test_batch_scores_equal_features_text_by_text(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").select("text", "lang").orderBy("doc_id").collect()
+    m = train([(r.text, r.lang) for r in rows[:80]])
+    texts = [r.text for r in rows[:60]] + [None, "", "x", "ab", "é", "漢字 " * 500, rows[0].text * 50]
+    from medtab.llm.language_id import features, softmax
+
+    want = []
+    for t in texts:
+        slot, share = features(t or "")
+        want.append(softmax(((share @ m.table[slot.astype(int)] + m.bias) / m.temperature)[None])[0])
+    assert np.allclose(m.scores(texts), np.array(want), atol=1e-3)
+    import pickle
+
+    again = pickle.loads(pickle.dumps(m))
+    assert again.table is None and np.array_equal(again.scores(texts), m.scores(texts))
+
+
+def test_sample_stays_within_its_bytes(spark, docs):
+    from medtab.llm.sampling import within_bytes
+
+    rows = docs.select("doc_id", "text")
+    assert within_bytes(rows).count() == 12 and within_bytes(rows, 0).where("length(text) > 0").count() == 0
+    assert within_bytes(rows, 1000).selectExpr("coalesce(sum(octet_length(text)), 0)").first()[0] <= 1000
+
+
 def test_language_model_needs_no_rows():
     m = train([])
     assert m.classes == ["und"] and m.scores(["abc", None, ""]).shape == (3, 1)
@@ -105,6 +154,65 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([r for r in rows if r[1] not in (b, d)], key=str)
 
 
+def test_pipeline_stages_against_plain_code(spark):
+    """Which rows each stage keeps, row by row, by code that shares nothing with the operators but the language model."""
+    import re
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    low = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    judged = {r.doc_id: r.rejected for r in language_id(docs).collect()}
+    one = corpus_pipeline.language_stage(spark, docs, sf)
+    assert ids(one) == sorted(d for d, gone in judged.items() if not gone)
+
+    two, kept = corpus_pipeline.near_duplicate_stage(spark, one, sf), []
+    texts = sorted((r.doc_id, r.text) for r in one.collect())
+    grams = {d: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(re.findall(r"[^\x20\x09-\x0D]+", low(t))) for d, t in texts}
+    root = {d: d for d, _ in texts}
+    for i, (a, _) in enumerate(texts):
+        for b, _ in texts[:i]:
+            if grams[a] and grams[b] and 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    kept = sorted(d for d in root if not grams[d] or root[d] == d)
+    assert ids(two) == kept
+
+    three = corpus_pipeline.decontamination_stage(spark, two, sf)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+    assert ids(three) == sorted(r.doc_id for r in two.collect() if not hit(words(r.text)))
+
+    four = corpus_pipeline.mixing_stage(spark, three, sf)
+    assert set(ids(four)) <= set(ids(three)) and four.count() > 0
+
+    five = {r.doc_id: r for r in corpus_pipeline.token_stage(spark, four, sf).collect()}
+    ref, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for r in sorted(four.collect(), key=lambda r: r.doc_id):
+        x = np.array([*ref.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (five[r.doc_id].start, five[r.doc_id].n_tokens, five[r.doc_id].ids_crc32) == (at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, docs, clashing, no_docs):
+    sf = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        plain, odd = (sorted(r.doc_id for r in stage(spark, d, sf).collect()) for d in (docs, clashing))
+        assert plain == odd and set(plain) <= set(range(1, 13)), name
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     n, seen = docs.count(), [docs]
