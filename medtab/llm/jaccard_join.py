@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medtab.llm.common import cut
+from medtab.llm.common import cut, give_back
 from medtab.llm.components import components
 
 #: Bits of a gram hash; the top BUCKET_BITS or more of them choose the bucket that counts it.
@@ -109,6 +109,8 @@ def _classes(n: int):
             _frequent(sets, often)
         if often:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, -1, None, [{"gram": g, "count": c} for g, c in often.items()]], kinds, strict=True)], names)
+        del sets, seen
+        give_back()
 
     return run
 
@@ -158,6 +160,8 @@ def _postings(n: int, bits: int, hot: np.ndarray):
                     sets, digests, held = [], [], 0
         if sets:
             yield pack(sets, digests)
+        del sets
+        give_back()
 
     return run
 
@@ -173,6 +177,7 @@ def _shared(bits: int, parts: int):
         return pd.DataFrame({"part": [int(part[s.start]) for s in cut_at], "digest": [digest[s].tobytes() for s in cut_at], "n": [size[s].astype(np.uint32).tobytes() for s in cut_at], "gram": [grams[s].tobytes() for s in cut_at], "df": [np.minimum(df[s], MOST_DF).astype(np.uint16).tobytes() for s in cut_at]})
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if int(key[0]) < 0:  # hot grams of one part's classes: shared in any case
             grams, digest, size = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("lo", np.uint64), ("digest", np.int64), ("n", np.uint32)))
             order = np.lexsort((grams, digest))
@@ -214,6 +219,7 @@ def _candidates(percent: int):
     """Classes of one part that can link at all, with their shared grams in global order and their prefix."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         digest = np.concatenate([np.frombuffer(x, np.int64) for x in rows.digest])
         size = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.n]).astype(np.int64)
         gram = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.gram])
@@ -355,6 +361,7 @@ def _cross_links(percent: int):
     probe leaves a unit at its first link to a component, and meets all members of a pile."""
 
     def run(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = []
         held = dict(tuple(members.groupby(["comp", "salt", "pblock"], sort=False)))
         for key, p in probes.groupby(["comp", "salt", "pblock"], sort=False):

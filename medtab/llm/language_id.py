@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medtab.llm.common import fold
+from medtab.llm.common import fold, give_back
 from medtab.llm.sampling import within_bytes
 
 #: Slots of the hashed table, embedding width, and the character n-gram lengths.
@@ -144,6 +144,7 @@ def _score(model: LanguageModel):
                 cols = [part.column(i) for i, f in enumerate(part.schema) if f.name != "__text"]
                 names = [f.name for f in part.schema if f.name != "__text"]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~lettered | (score < model.cut))], [*names, "lang_pred", "score", "rejected"])
+        give_back()
 
     return run
 

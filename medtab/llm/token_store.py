@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medtab.llm.common import scratch_path
+from medtab.llm.common import give_back, scratch_path
 
 #: Format: magic and header (version, vocabulary size, ids a block, documents, blocks).
 MAGIC, HEADER = b"MTOK", struct.Struct("<4sIIIQI")
@@ -44,7 +44,7 @@ PART, LOW_CONTEXTS, SEEN = 10, 4, 16
 #: Numbers that tables are renewed by at once, so that they stay in a core's cache.
 IN_CACHE = 1 << 14
 #: Pieces that a worker keeps with their ids, and bytes of text tokenized at once.
-MEMO, SLICE = 600_000, 4_000_000
+MEMO, SLICE = 400_000, 4_000_000
 _ONE = 1 << PART
 _ALL = 3 * PART
 _TOP = np.uint64(1 << 48)
@@ -534,6 +534,8 @@ def _segments(path: str, end_id: int):
                     seg, ids, lengths, docs, held = seg + 1, [], [], [], 0
         if docs:
             yield out()
+        del ids[:], lengths[:]
+        give_back()
 
     return run
 
@@ -551,6 +553,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), shard)), pa.array(np.full(len(n), seg)), pa.array(docs, pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())],
                 ["shard", "seg", "doc_id", "inner", "n_tokens", "ids_crc32"])
+            del flat, raw
+    give_back()
 
 
 #: A row of a file.
