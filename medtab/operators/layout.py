@@ -27,10 +27,10 @@ def select_extractor(candidates: DataFrame) -> DataFrame:
     n_measurements, errors)``.
 
     The first is taken if its quality is GOOD and it has no tables without measurements; else a later one that succeeded;
-    else the first that succeeded; with none, the row is FAILED and has all errors.
+    with none, the row is FAILED and has all errors, also where the first gave a text that was not good enough.
     """
     good = F.col("success") & (F.col("status") == "GOOD") & ~((F.col("n_tables") > 0) & (F.col("n_measurements") == 0))
-    rank = F.when((F.col("priority") == 1) & good, 0).when((F.col("priority") > 1) & F.col("success"), 1).when(F.col("success"), 2)
+    rank = F.when((F.col("priority") == 1) & good, 0).when((F.col("priority") > 1) & F.col("success"), 1)
     pick = F.min_by(F.struct("extractor", "status"), F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("priority").alias("p"))))
     out = candidates.groupBy("doc_id").agg(pick.alias("x"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("priority", "errors"))), lambda s: s["errors"])).alias("errors"))
     return out.select("doc_id", F.col("x.extractor").alias("extractor"), F.coalesce("x.status", F.lit("FAILED")).alias("status"), F.when(F.col("x").isNull(), F.col("errors")).otherwise(F.array().cast("array<string>")).alias("errors"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medtab.functions.text import clean_text
-from medtab.operators import evaluate, facts, layout, quality, ranges, report, terms
+from medtab import dims
+from medtab.functions.text import clean_text, strip_markup
+from medtab.operators import classify, evaluate, facts, layout, quality, ranges, report, terms
 from medtab.plans import queries as base
 from medtab.plans import synth
 from medtab.plans.queries import query
@@ -54,7 +55,7 @@ def cell_count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.cell_count_rows(_sections_of(li, "l_orderkey", "rn", line, "CBC"), known).select("doc_id", "name", "value_raw", "unit", "reference_range")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'Level L' || rn || '-' || (rn + 1) AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw FROM items")
+@query(f"WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'Sagittal diameter L' || rn || '-' || (rn + 1) AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw FROM items")
 def level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of levels and a row of millimetres, read as one measurement for each level."""
     li = synth.items(spark, sf_dir)
@@ -82,10 +83,11 @@ def code_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.resolve_codes(names.select(F.concat(F.lit("Serum "), F.col("p_name"), F.lit(" level")).alias("name")), by_noun.unionByName(by_name))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END AS gender FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderkey % 8 IN (0, 2, 4) THEN 'female' WHEN o_orderkey % 8 IN (1, 3, 5) THEN 'male' END AS gender FROM orders")
 def patient_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sex from a field, else from words of the header, else null."""
-    said = F.when(F.col("o_orderstatus") == "F", "Sex: F").when(F.col("o_orderstatus") == "O", "Mr Doe, referred").otherwise("no header")
+    heads = ["Sex: F", "Age: 28 years, Male", "A girl of nine, seen by Mr Doe", "34/M", "F/61", "gender - boy", "Mrs Doe, referred", "no header"]
+    said = F.element_at(F.array(*map(F.lit, heads)), (F.col("o_orderkey") % 8 + 1).cast("int"))
     sections = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("section_no"), F.lit("Header").alias("title"), said.alias("text"))
     return ranges.patient_sex(sections)
 
@@ -155,3 +157,83 @@ def resolved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = found.select("doc_id", F.col("pattern").alias("term")).distinct().withColumns({"normalized": F.upper("term"), "status": F.when(F.col("term").startswith("red "), "AMBIGUOUS").otherwise("RESOLVED")})
     merged = terms.merge_into_facts(found, res, "pattern")
     return merged.groupBy("doc_id", F.col("pattern").alias("term"), "normalized").agg(F.count("*").alias("n"))
+
+
+_NOTE_WORDS = "WITH i AS (SELECT l_orderkey AS d, l_linenumber AS k, l_quantity AS v, 'cough' || l_linestatus AS w FROM lineitem)"
+
+
+@query(f"""{_NOTE_WORDS} SELECT DISTINCT CAST(d AS VARCHAR) AS doc_id, CASE v % 4 WHEN 0 THEN 'denies ' ELSE 'Age related ' END || w AS finding, CASE v % 4 WHEN 0 THEN 'ABSENT' ELSE 'PRESENT' END AS assertion FROM i WHERE v % 4 IN (0, 1)""")
+def note_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as lines of notes: findings, also in lines that begin like a field; fields and vitals give none."""
+    v, w = F.col("l_quantity") % 4, F.concat(F.lit("cough"), "l_linestatus")
+    line = F.when(v == 0, F.concat(F.lit("- denies "), w)).when(v == 1, F.concat(F.lit("Age related "), w)).when(v == 2, F.concat(F.lit("Age: "), w)).otherwise(F.concat(F.lit("Vitals: BP 120/80 "), w))
+    li = table(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    sections = _sections_of(li, "l_orderkey", "o", line, "Note")
+    modes = table(spark, sf_dir, "lineitem").select(F.lit("general_note").alias("rule_set"), F.xxhash64(w).alias("position"), w.alias("pattern")).distinct()
+    routed = facts.route(sections.select("doc_id", F.lit("General").alias("report_type")), dims.rule_aliases(spark))
+    return facts.findings(facts.note_clauses(sections), routed, modes, gated=False).select("doc_id", "finding", "assertion")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS d, l_returnflag || ' size' AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS v FROM lineitem WHERE l_linestatus = 'F' UNION SELECT l_orderkey, l_returnflag || ' size', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber % 3 <> 0)
+SELECT CAST(d AS VARCHAR) AS doc_id, name, v AS value_raw, CAST(NULL AS VARCHAR) AS reference_range FROM m""")
+def radiology_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of text and of tables together: every third of a table is an administrative field, and none keeps a range."""
+    li = table(spark, sf_dir, "lineitem").withColumn("name", F.concat("l_returnflag", F.lit(" size")))
+    row = lambda df, name: df.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), name.alias("name"), F.col("l_quantity").cast("int").cast("string").alias("value_raw"), F.lit("mm").alias("unit"))
+    field = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Ref "), F.col("name"))).otherwise(F.col("name"))
+    return facts.radiology_merge(row(li.where("l_linestatus = 'F'"), F.col("name")), row(li.where("l_linestatus = 'O'"), field)).select("doc_id", "name", "value_raw", "reference_range")
+
+
+@query("""SELECT p_partkey AS part_no, p_name || ' x' AS cell, 'Part ' || p_name || ' of ' || p_brand AS body FROM part""")
+def markup_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in Markdown and HTML, as a cell and as a body text."""
+    cell = F.concat(F.lit("**"), F.col("p_name"), F.lit("** <u>x</u>"))
+    body = F.concat(F.lit("# Part _"), F.col("p_name"), F.lit("_ of<br/>\n["), F.col("p_brand"), F.lit("](http://x/y)"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), strip_markup(cell).alias("cell"), strip_markup(body, "text").alias("body"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS d, o_orderkey % 3 AS r, o_orderpriority AS p FROM orders) SELECT CAST(d AS VARCHAR) AS doc_id, CASE r WHEN 0 THEN p || ' report' ELSE 'Results' END AS title FROM s WHERE r <> 2""")
+def title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first section title that is no patient header."""
+    r = F.col("o_orderkey") % 3
+    first, second = F.concat("o_orderpriority", F.lit(" report")), F.lit("Results")
+    titles = F.array(F.when(r == 0, first).when(r == 1, F.lit("Patient name")).otherwise(F.lit("12")), F.when(r == 2, F.lit("Date of visit")).otherwise(second))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.posexplode(titles).alias("k", "title"))
+    return classify.document_titles(rows.select("doc_id", F.lit(1).alias("page"), (F.col("k") + 1).alias("section_no"), "title", F.lit("").alias("text")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_orderstatus = 'O' THEN 'lipid_profile' WHEN o_orderpriority LIKE '%URGENT%' THEN 'echocardiography' ELSE 'unknown' END AS report_type FROM orders""")
+def type_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown documents with a marker word become echo reports; ambiguous and known ones stay."""
+    o = table(spark, sf_dir, "orders")
+    known = F.when(F.col("o_orderstatus") == "O", "CONFIDENT").when(F.col("o_orderstatus") == "P", "AMBIGUOUS").otherwise("UNKNOWN")
+    docs = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.when(known == "CONFIDENT", "lipid_profile").otherwise("unknown").alias("report_type"), known.alias("status"))
+    texts = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.when(F.col("o_orderpriority").contains("URGENT"), "Conc LVH seen").otherwise("nothing").alias("text"))
+    return classify.fallback_type(docs, texts, r"(?i)\b(lvh|rwma|lvdd)\b", "echocardiography").select("doc_id", "report_type")
+
+
+@query("""SELECT p_partkey AS part_no, CASE p_size % 4 WHEN 0 THEN 'Mild ' || p_name WHEN 1 THEN 'Grade 2 ' || p_name WHEN 2 THEN p_name END AS normalized, CASE WHEN p_size % 4 = 3 THEN 'NOT_APPLICABLE' ELSE 'RESOLVED' END AS status FROM part""")
+def terms_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as terms with a qualifier, with curly quotes, and units, which are no terms."""
+    size, name = F.col("p_size") % 4, F.col("p_name")
+    term = F.when(size == 0, F.concat(F.lit("mild "), name)).when(size == 1, F.concat(F.lit("grade ii *"), name, F.lit("*"))).when(size == 2, name).otherwise(F.lit("mmHg"))
+    corpus = base._names(spark, sf_dir).select(F.col("p_name").alias("surface_form"), F.col("p_name").alias("candidate"), F.lit("general").alias("domain"), F.lit(False).alias("is_safety"), F.lit(1).alias("line_no"), F.lit(False).alias("ambiguous"))
+    corpus = terms.tagged_candidates(corpus, spark.createDataFrame([], "term string, domain string"), spark.createDataFrame([("cardiology", "ventricle")], "domain string, keyword string"))
+    return terms.resolve(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), term.alias("term")), corpus).select("part_no", "normalized", "status")
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(l_linenumber AS BIGINT) AS line_no, CASE WHEN l_quantity < lo THEN 'LOW' WHEN l_quantity > hi THEN 'HIGH' ELSE 'NORMAL' END AS side, count(*) AS n FROM items GROUP BY ALL""")
+def range_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side of each item's quantity by the numbers of its range text."""
+    li = synth.items(spark, sf_dir)
+    side = report.range_side(F.col("l_quantity").cast("double"), F.concat(F.lit("("), F.col("lo").cast("string"), F.lit(" to "), F.col("hi").cast("string"), F.lit(")")))
+    return li.groupBy(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("long").alias("line_no"), side.alias("side")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT lower(event_type) AS key FROM events WHERE event_type <> (SELECT min(event_type) FROM events)""")
+def terms_not_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as terms; the first in order has been looked up before."""
+    from medtab.streaming import intake
+
+    ev = table(spark, sf_dir, "events")
+    return intake.new_terms(ev.select(F.concat(F.lit(" "), F.upper("event_type")).alias("term")), ev.agg(F.min("event_type").alias("key")))

@@ -90,16 +90,18 @@ def doc_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT doc_id, n_chars % 4 AS r, n_chars FROM documents)
-SELECT doc_id, CASE WHEN r IN (0, 1) THEN 'primary' WHEN r = 2 THEN 'secondary' END AS extractor, CASE WHEN r = 0 THEN 'GOOD' WHEN r = 1 THEN 'DEGRADED' WHEN r = 2 THEN 'GOOD' ELSE 'FAILED' END AS status,
-  CASE WHEN r = 3 THEN 2 ELSE 0 END AS n_errors FROM c""")
+SELECT doc_id, CASE r WHEN 0 THEN 'primary' WHEN 2 THEN 'secondary' END AS extractor, CASE WHEN r IN (0, 2) THEN 'GOOD' ELSE 'FAILED' END AS status,
+  CASE r WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_errors FROM c""")
 def extractor_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extractor choice where the outcome of each follows from a document's length."""
+    """Extractor choice where the outcome of each follows from a document's length: good; not good enough, with a second that
+    fails; tables without measurements, with a good second; both fail."""
     r = F.col("n_chars") % 4
     base = table(spark, sf_dir, "documents").select("doc_id", r.alias("r"))
     err = F.when(F.col("r") == 3, F.array(F.lit("no text"))).otherwise(F.array().cast("array<string>"))
     one = base.select("doc_id", F.lit("primary").alias("extractor"), F.lit(1).alias("priority"), (F.col("r") != 3).alias("success"), F.when(F.col("r") == 1, "DEGRADED").otherwise("GOOD").alias("status"),
                       F.when(F.col("r") == 2, 1).otherwise(0).alias("n_tables"), F.lit(0).alias("n_measurements"), err.alias("errors"))
-    two = base.select("doc_id", F.lit("secondary").alias("extractor"), F.lit(2).alias("priority"), F.col("r").isin(0, 2).alias("success"), F.lit("GOOD").alias("status"), F.lit(0).alias("n_tables"), F.lit(0).alias("n_measurements"), err.alias("errors"))
+    late = F.when(F.col("r").isin(1, 3), F.array(F.lit("no text"))).otherwise(F.array().cast("array<string>"))
+    two = base.select("doc_id", F.lit("secondary").alias("extractor"), F.lit(2).alias("priority"), F.col("r").isin(0, 2).alias("success"), F.lit("GOOD").alias("status"), F.lit(0).alias("n_tables"), F.lit(0).alias("n_measurements"), late.alias("errors"))
     out = layout.select_extractor(one.unionByName(two))
     return out.select("doc_id", "extractor", "status", F.size("errors").alias("n_errors"))
 
@@ -140,13 +142,13 @@ def table_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_measurements(spark, sf_dir).drop("page")
 
 
-@query("""SELECT event_type, CASE user_id % 3 WHEN 0 THEN 'degF' WHEN 1 THEN 'degC' ELSE 'mm' END AS unit, count(*) AS n,
+@query("""SELECT event_type, CASE user_id % 3 WHEN 0 THEN '[degF]' WHEN 1 THEN 'Cel' ELSE 'mm' END AS unit, count(*) AS n,
   count(CASE user_id % 3 WHEN 2 THEN NULL ELSE 1 END) AS n_converted, round(sum(CASE user_id % 3 WHEN 0 THEN (value - 32) * 5 / 9 WHEN 1 THEN value END), 2) AS total FROM events GROUP BY ALL""")
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values with three units against a range in degC."""
+    """Event values with three units against a range in degrees Celsius."""
     unit = F.when(F.col("user_id") % 3 == 0, "°F").when(F.col("user_id") % 3 == 1, "celsius").otherwise("mm")
     rows = ranges.canonical_units(table(spark, sf_dir, "events").select("event_type", F.col("value").alias("value_num"), unit.alias("raw")), dims.unit_aliases(spark), "raw")
-    out = ranges.convert_units(rows.withColumn("unit", F.col("raw_canonical")).withColumn("range_unit", F.lit("degC")), dims.unit_conversions(spark))
+    out = ranges.convert_units(rows.withColumn("unit", F.col("raw_canonical")).withColumn("range_unit", F.lit("Cel")), dims.unit_conversions(spark))
     return out.groupBy("event_type", "unit").agg(F.count("*").alias("n"), F.count("converted").alias("n_converted"), F.round(F.sum("converted"), 2).alias("total"))
 
 
@@ -278,9 +280,9 @@ def class_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.decide(_scored(spark, sf_dir)[0]).select("doc_id", "report_type", "status", F.round("confidence", 4).alias("confidence"))
 
 
-@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id, event_type AS name, CAST(value AS VARCHAR) AS value_raw, value AS value_num, 'mm' AS unit FROM events WHERE value >= 0.01""")
+@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS doc_id, event_type AS name, CAST(value AS VARCHAR) AS value_raw, value AS value_num, 'mm' AS unit FROM events""")
 def inline_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as lines "type: value mm", one text a user; all events, also those below 0.01 that the SQL leaves out."""
+    """Events written as lines "type: value mm", one text a user."""
     # without an exponent wherever DuckDB writes none
     plain = F.regexp_replace(F.col("value").cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     value = F.when(F.abs("value").between(1e-4, 1e-3) | ((F.abs("value") >= 1e7) & (F.abs("value") < 1e16)), plain).otherwise(F.col("value").cast("string"))

@@ -65,7 +65,7 @@ def test_extractor_choice(spark):
             ("c", "one", 1, False, None, 0, 0, ["x"]), ("c", "two", 2, False, None, 0, 0, ["y"]), ("d", "one", 1, True, "DEGRADED", 0, 0, []), ("d", "two", 2, False, None, 0, 0, ["z"])]
     c = spark.createDataFrame(rows, "doc_id string, extractor string, priority int, success boolean, status string, n_tables int, n_measurements int, errors array<string>")
     got = {r.doc_id: (r.extractor, r.status, r.errors) for r in layout.select_extractor(c).collect()}
-    assert got == {"a": ("one", "GOOD", []), "b": ("two", "GOOD", []), "c": (None, "FAILED", ["x", "y"]), "d": ("one", "DEGRADED", [])}
+    assert got == {"a": ("one", "GOOD", []), "b": ("two", "GOOD", []), "c": (None, "FAILED", ["x", "y"]), "d": (None, "FAILED", ["z"])}
 
 
 def test_assemble_orders_pages(spark):
