@@ -416,7 +416,8 @@ def extract_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.extraction_comparison(log)
 
 
-@query()
+@query(f"""WITH {_TEXT_CHECKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 50 = 0 OR status = 'FAILED' THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN doc_id % 50 = 0 THEN 'unsupported format' WHEN status = 'FAILED' THEN 'quality check failed' END AS error FROM q""")
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake stream over all documents, landed as four files: the last status of each."""
     from medtab.streaming import intake
