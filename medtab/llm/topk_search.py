@@ -23,7 +23,7 @@ from medtab.llm.common import cut
 SCALE, BUCKETS, BLOCK_ROWS, QUERY_ROWS = 1024, 8, 8192, 4096
 #: Coordinates of the partial product, and the local cosine threshold from which length alone prunes.
 FOCUS, BY_LENGTH = 16, 0.9
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, vec_id long, score long, copies long"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -47,10 +47,10 @@ def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in rows], object).clip(-(2**63), 2**63 - 1).astype(np.int64)
 
 
-def search_block(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, queries: Iterator[tuple[int, np.ndarray, float, int | None]], k: int) -> list[tuple[int, int, int]]:
-    """Each query's best ``k`` of a block that can be among its best ``k`` of all: (query, vector, score)."""
+def search_block(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, copies: np.ndarray, queries: Iterator[tuple[int, np.ndarray, float, int | None]], k: int) -> list[tuple[int, int, int, int]]:
+    """Each query's best ``k`` of a block that can be among its best ``k`` of all: (query, vector, score, rows that are this vector)."""
     order = np.argsort(-norms, kind="stable")
-    ids, rows, norms = ids[order], rows[order], norms[order]
+    ids, rows, norms, copies = ids[order], rows[order], norms[order], copies[order]
     square = rows**2
     out = []
     for qid, q, q_norm, beat in queries:
@@ -70,13 +70,13 @@ def search_block(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, queries:
         if not len(alive):
             continue
         score = products(rows[alive], q)
-        own = ids[alive]
+        own, times = ids[alive], copies[alive]
         keep = own != qid
         if beat is not None:
             keep &= score >= beat
-        score, own = score[keep], own[keep]
+        score, own, times = score[keep], own[keep], times[keep]
         best = np.lexsort((own, -score))[:k]
-        out += [(qid, int(own[i]), int(score[i])) for i in best]
+        out += [(qid, int(own[i]), int(score[i]), int(times[i])) for i in best]
     return out
 
 
@@ -86,15 +86,17 @@ def _search(k: int):
         if len(block) and len(queries):
             rows = _matrix(block.v)
             beats = [None if pd.isna(b) else int(b) for b in queries.beat]
-            out = search_block(block.vec_id.to_numpy(np.int64), rows, block.norm.to_numpy(float), zip(queries.vec_id.tolist(), _matrix(queries.v), queries.norm.tolist(), beats, strict=True), k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+            out = search_block(block.vec_id.to_numpy(np.int64), rows, block.norm.to_numpy(float), block.copies.to_numpy(np.int64), zip(queries.vec_id.tolist(), _matrix(queries.v), queries.norm.tolist(), beats, strict=True), k)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "copies"], dtype="int64")
 
     return run
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of each query; a vector of several rows counts as often."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    every = hits.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(1).cast("long").alias("copies"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -102,9 +104,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     ``is_query`` picks the queries by ``vec_id``. Ties go to the smaller vec_id; a query with fewer than ``k`` others gets
     them all. Vectors that are null, empty or hold a null or non-finite part take no part, and vectors of different
-    dimensions never meet. Repeated rows are one vector where id and components agree; further columns are ignored.
+    dimensions never meet. Rows that repeat id and vector are one query, and as candidates as many rows as they are; further
+    columns are ignored.
     """
-    rows = cut(quantised(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
+    rows = cut(quantised(vectors).groupBy("vec_id", "v", "norm", "dim").agg(F.count("*").alias("copies")), "vectors")
     total = rows.count()
     edges = rows.select(F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or []
     bucket = F.lit(0)
@@ -121,7 +124,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     def meet(asked: DataFrame, where: DataFrame) -> DataFrame:
         """Queries (with the blocks they go to) against those blocks, each block sent to the query groups that ask for it."""
         wanted = asked.select(*key).distinct()
-        sent = placed.join(wanted, ["dim", "bucket", "salt"]).select(*(F.col(c).alias(c) for c in (*key, "vec_id", "v", "norm")))
+        sent = placed.join(wanted, ["dim", "bucket", "salt"]).select(*(F.col(c).alias(c) for c in (*key, "vec_id", "v", "norm", "copies")))
         return asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_search(k), _HITS)
 
     nearest = blocks.groupBy("dim").agg(F.min("bucket").alias("bucket"))
@@ -131,7 +134,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     rest = blocks.join(nearest.withColumnRenamed("bucket", "done"), "dim").where(F.col("bucket") > F.col("done"))
     can = F.col("beat").isNull() | (F.col("beat") <= F.col("norm") * F.col("longest") * (1 + 1e-9))
     asked = queries.join(beat, "vec_id", "left").join(rest, "dim").where(can).select(*key, "vec_id", "v", "norm", "beat")
-    hits = seed.select("query_id", "vec_id", "score").unionByName(meet(asked, blocks))
+    hits = seed.select("query_id", "vec_id", "score", "copies").unionByName(meet(asked, blocks))
     return _best(hits, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -140,7 +143,7 @@ SQL = f"""
 WITH v AS (SELECT vec_id, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
