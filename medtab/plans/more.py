@@ -237,3 +237,104 @@ def terms_not_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ev = table(spark, sf_dir, "events")
     return intake.new_terms(ev.select(F.concat(F.lit(" "), F.upper("event_type")).alias("term")), ev.agg(F.min("event_type").alias("key")))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS d, l_suppkey % 7 AS k FROM lineitem), r(rule, k) AS (VALUES ('left_ventricular_systolic_function_cluster', 0), ('left_ventricular_systolic_function_cluster', 1),
+  ('thyroid_function_cluster', 2), ('thyroid_function_cluster', 3), ('lipid_panel_cluster', 4), ('metabolic_syndrome_cluster', 4), ('lipid_panel_cluster', 5), ('metabolic_syndrome_cluster', 6), ('glycemic_screening_cluster', 6))
+SELECT CAST(d AS VARCHAR) AS doc_id, rule, CAST(count(*) AS INTEGER) AS n FROM c JOIN r USING (k) GROUP BY 1, 2 HAVING count(*) >= 2""")
+def context_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of an order that belong together by the rules at hand."""
+    said = F.array(*map(F.lit, ["Ejection Fraction", "fractional shortening", "TSH level", "Free T4", "Serum Triglycerides", "HDL value", "Fasting Glucose"]))
+    concepts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.element_at(said, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("concept"))
+    return ranges.context_groups(concepts, dims.context_rules(spark)).select("doc_id", "rule", F.size("concepts").alias("n"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS d, unnest(['leak' || l_linestatus || ' seen', 'No clot' || l_linestatus]) AS clause, unnest(['PRESENT', 'ABSENT']) AS assertion FROM lineitem)
+SELECT CAST(d AS VARCHAR) AS doc_id, clause, assertion, count(*) AS n FROM c GROUP BY ALL""")
+def echo_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as sentences of an echo report: valve headers, a "No" sentence, a clause without findings, a number."""
+    li = table(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    head = F.when(F.col("l_quantity") % 2 == 0, "Mitral valve: ").otherwise("AORTIC VALVE : ")
+    text = F.concat(head, F.lit("leak"), "l_linestatus", F.lit(" seen. No clot"), "l_linestatus", F.lit(", soft edge; Size: 12.5 mm"))
+    out = facts.echo_clauses(_sections_of(li, "l_orderkey", "o", text, "Findings"), r"(?i)\bleak")
+    return out.groupBy("doc_id", "clause", "assertion").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand AS doc_id, 'Report type: order (confident), abnormal: ' || count(*) FILTER (p_size % 2 = 0) AS head, CAST(count(*) + 4 AS INTEGER) AS n_lines FROM part GROUP BY 1""")
+def plain_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a brand as the findings of one report, summed up in plain text."""
+    concepts = base._part_concepts(spark, sf_dir).withColumn("reference_range", F.lit(None).cast("string"))
+    classified = concepts.select("doc_id", F.lit("order").alias("report_type"), F.lit("CONFIDENT").alias("status"), F.lit(1.0).alias("confidence")).distinct()
+    summaries = report.plain_summary(report.final_reports(classified, concepts, ranges.significance(concepts))).withColumn("lines", F.split("text", "\n"))
+    return summaries.select("doc_id", F.col("lines")[0].alias("head"), F.size("lines").alias("n_lines"))
+
+
+@query("""SELECT p_partkey AS part_no, CASE p_size % 4 WHEN 0 THEN split_part(p_name, ' ', 2) || ' stuff' WHEN 3 THEN 'Zed of all' END AS normalized, CASE p_size % 4 WHEN 1 THEN 'AMBIGUOUS' WHEN 2 THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status,
+  CASE WHEN p_size % 4 < 2 THEN 'terminology_corpus' WHEN p_size % 4 = 3 THEN 'universal_dictionary' END AS source, p_size % 4 < 2 AS is_safety FROM part""")
+def terms_universal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safety forms, which need a larger lead, and what only the universal vocabulary knows."""
+    size, noun = F.col("p_size") % 4, F.element_at(F.split("p_name", " "), 2)
+    nouns = base._names(spark, sf_dir).select("noun").distinct()
+    corpus = nouns.select(F.col("noun").alias("surface_form"), F.concat("noun", F.lit(" stuff")).alias("candidate"), F.lit("general").alias("domain"), F.lit(True).alias("is_safety"), F.lit(1).alias("line_no"), F.lit(False).alias("ambiguous"))
+    corpus = terms.tagged_candidates(corpus, spark.createDataFrame([], "term string, domain string"), spark.createDataFrame([("cardiology", "ventricle")], "domain string, keyword string"))
+    said = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), F.when(size < 2, noun).when(size == 2, F.lit("nothing here")).otherwise(F.lit("ZED")).alias("term"),
+                                               F.when(size == 0, F.concat(noun, F.lit(" stuff"))).otherwise(F.lit("stuff")).alias("source_text"))
+    return terms.resolve(said, corpus, universal=spark.createDataFrame([("Zed", "Zed of all")], "key string, value string")).select("part_no", "normalized", "status", "source", "is_safety")
+
+
+@query("""SELECT event_type, user_id % 4 <> 1 AS is_date, count(*) AS n FROM events GROUP BY ALL""")
+def date_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as measurements three of four of which are dates: by the field, by a month, by the rest of a date."""
+    r = F.col("user_id") % 4
+    name = F.when(r == 0, "Registered").when(r == 1, "Size").when(r == 2, "12 Mar").otherwise("Dose")
+    unit = F.when(r == 1, "mm").when(r == 3, "/12/2020")
+    flag = facts.is_date(name, F.when(r == 3, "7").otherwise("12"), unit)
+    return table(spark, sf_dir, "events").groupBy("event_type", flag.alias("is_date")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Results' AS title FROM orders WHERE o_orderkey % 3 = 2""")
+def skipped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose titles say that they hold no facts are left out."""
+    r = F.col("o_orderkey") % 3
+    title = F.when(r == 0, "Interpretation of values").when(r == 1, " COMMENTS").otherwise("Results")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), title.alias("title"))
+    return facts.skip_sections(rows, ["interpretation"], ["comments"])
+
+
+@query("""SELECT p_partkey AS part_no, p_size % 4 = 0 AS short_enough FROM part""")
+def finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that may be a finding: not too long, no row of a table, no number first."""
+    size, name = F.col("p_size") % 4, F.col("p_name")
+    text = F.when(size == 0, name).when(size == 1, F.array_join(F.array_repeat(name, 6), " ")).when(size == 2, F.concat(F.lit("3 "), name)).otherwise(F.concat(name, F.lit(" | x")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), facts.is_finding_text(text).alias("short_enough"))
+
+
+@query(f"""WITH {ITEMS_SQL}, q AS (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS v FROM items)
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'Value ' || v || ' ' || unit || ' is ' || CASE WHEN l_quantity < lo THEN 'below' WHEN l_quantity > hi THEN 'above' ELSE 'within' END || ' the reported reference range ' || lo || '–' || hi || ' ' || unit AS basis,
+  'reported' AS range_source, count(*) AS n FROM q GROUP BY ALL""")
+def range_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each comparison of an order's items rests on, in words."""
+    li = synth.items(spark, sf_dir)
+    span = F.concat(F.col("lo").cast("string"), F.lit(" - "), F.col("hi").cast("string"))
+    null = F.lit(None).cast("string")
+    concepts = li.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("rn").alias("concept_no"), F.col("p_name").alias("concept"), F.col("l_quantity").cast("int").cast("string").alias("value_raw"), F.col("l_quantity").cast("double").alias("value_num"),
+                         "unit", span.alias("reference_range"), null.alias("assertion"), F.create_map().cast("map<string,string>").alias("modifiers"))
+    return ranges.significance(concepts).groupBy("doc_id", "basis", "range_source").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS d, o_orderkey % 3 AS r, o_orderkey % 5 AS c, o_orderkey % 60 AS v FROM orders), b AS (SELECT *, CASE r WHEN 0 THEN 10 + c WHEN 1 THEN 30 + c ELSE 0 END AS lo, CASE r WHEN 0 THEN 20 WHEN 1 THEN 45 ELSE 50 END AS hi FROM o)
+SELECT CAST(d AS VARCHAR) AS doc_id, CASE WHEN v < lo THEN 'BELOW_REPORTED_REFERENCE_RANGE' WHEN v > hi THEN 'ABOVE_REPORTED_REFERENCE_RANGE' ELSE 'WITHIN_REPORTED_RANGE' END AS comparison, 'loinc_standard' AS range_source FROM b""")
+def ranges_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without a reported range, compared with the standard range of their code and the patient's sex."""
+    r, c = F.col("o_orderkey") % 3, F.col("o_orderkey") % 5
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("c"), c.cast("string")).alias("code"), (F.col("o_orderkey") % 60).cast("double").alias("value_num"),
+                                                   F.when(r == 0, "Name: X, Sex: Female").when(r == 1, "Gender - M").otherwise("unsaid").alias("text"))
+    sexes = ranges.patient_sex(orders.select("doc_id", F.lit(1).alias("section_no"), F.lit("Head").alias("title"), "text"))
+    spans = [(f"c{k}", g, "reference", i, float(low + step * k), float(high), "mm") for k in range(5) for i, (g, low, step, high) in enumerate([("female", 10, 1, 20), ("male", 30, 1, 45), (None, 0, 0, 50)])]
+    dim = spark.createDataFrame(spans, "code string, gender string, category string, interval_no int, low double, high double, unit string")
+    asked = orders.join(sexes, "doc_id")
+    null = F.lit(None).cast("string")
+    concepts = asked.select("doc_id", F.lit(1).alias("concept_no"), F.lit("Size").alias("concept"), null.alias("value_raw"), "value_num", F.lit("mm").alias("unit"), null.alias("reference_range"), null.alias("assertion"), F.create_map().cast("map<string,string>").alias("modifiers"))
+    picked = ranges.pick_ranges(asked, dim).select(F.col("code").alias("c"), F.col("gender").alias("g"), "low", "high", F.col("unit").alias("std_unit"))
+    standard = asked.join(picked, (F.col("code") == F.col("c")) & F.col("gender").eqNullSafe(F.col("g"))).select("doc_id", F.lit(1).alias("concept_no"), F.col("low").alias("std_low"), F.col("high").alias("std_high"), "std_unit")
+    return ranges.significance(concepts, standard, dims.unit_conversions(spark)).select("doc_id", "comparison", "range_source")

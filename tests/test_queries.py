@@ -13,10 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
-    out = []
-    for r in df.itertuples(index=False):
-        out.append(tuple("None" if v is None or v != v else (round(float(v), 6) if isinstance(v, float) else str(v)) for v in r))
-    return sorted(out, key=str)
+    def plain(v):
+        if hasattr(v, "__len__") and not isinstance(v, str):
+            return str(list(v))
+        return "None" if v is None or v != v else (round(float(v), 6) if isinstance(v, float) else str(v))
+
+    return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(core.SQL))
@@ -39,3 +41,16 @@ def test_plans(spark, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["doc_id", "alert_level", "n", "above"]
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(core.QUERIES) >= 30
+
+
+def test_sides_are_measured(spark, monkeypatch):
+    from medtab.operators import ranges, sides
+
+    rows = spark.createDataFrame([("MM ", 1), ("x", 2), (None, 3)], "unit string, n int")
+    aliases = spark.createDataFrame([("mm", "mm"), ("millimetre", "mm")], "alias string, canonical string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, ranges.canonical_units(rows, aliases).collect()), key=str)
+    assert "broadcast" in plan(ranges.canonical_units(rows, aliases)) and want == [("MM ", 1, "mm"), ("x", 2, "x"), (None, 3, None)]
+    monkeypatch.setattr(sides, "SMALL_BYTES", 10)
+    assert "broadcast" not in plan(ranges.canonical_units(rows, aliases)) and sorted(map(tuple, ranges.canonical_units(rows, aliases).collect()), key=str) == want
+    assert "broadcast" in plan(rows.join(sides.small(aliases.limit(0)), rows["unit"] == aliases["alias"]))
