@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from medtab.llm import decontaminate, source_mixing, token_rollup, topk_search, url_filter
 from medtab.llm.common import table
+from medtab.llm.conversation_repair import repair
 from medtab.llm.jaccard_join import jaccard_components
 from medtab.llm.language_id import language_id
 from medtab.llm.quality_rules import quality
@@ -67,6 +68,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest edits that give it a legal structure."""
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_rollup": op2_token_rollup,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_store": op9_token_store,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 SQL: dict[str, str] = {
