@@ -16,6 +16,7 @@ from medtab.llm.language_id import language_id
 from medtab.llm.quality_rules import quality
 from medtab.llm.token_store import token_digest
 from medtab.llm.toxicity import toxicity
+from medtab.llm.whitening import whiten
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the first components of the covariance of all distinct vectors, scaled to unit variance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_rollup": op2_token_rollup,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
