@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ ANCHOR = r"[0-9@]|[(\[{]at[)\]}]|\bdot\b"
 #: Bounds of the training sample: documents looked at, snippets taken of each and of all, and windows made of them.
 SAMPLE, SNIPPETS, MOST_SNIPPETS, TRAIN = 6000, 8, 1500, 1600
 #: Width of each direction, passes over the training windows, windows of a step, and the least confidence of an added span.
-WIDTH, EPOCHS, STEP, CONFIDENCE = 16, 7, 64, 0.7
+WIDTH, EPOCHS, STEP, CONFIDENCE = 16, 10, 32, 0.7
 
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -183,6 +183,17 @@ class Tagger:
             tags.append(b[np.arange(len(b)), tags[-1]])
         return np.array(tags[::-1]).T
 
+    def marginals(self, e: np.ndarray) -> np.ndarray:
+        """Probabilities of (character, window, tag) under emissions and transitions."""
+        t = self.transitions().astype(e.dtype)
+        a, b = np.empty_like(e), np.zeros_like(e)
+        a[0] = e[0] + np.where(OPENING, 0, _BAR)
+        for k in range(1, len(e)):
+            a[k] = _logsum(a[k - 1][:, :, None] + t, 1) + e[k]
+        for k in range(len(e) - 2, -1, -1):
+            b[k] = _logsum(t + (e[k + 1] + b[k + 1])[:, None, :], 2)
+        return _softmax(a + b)
+
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of tags ``y`` of windows ``x``, and its gradient; padding counts for nothing."""
         tapes: dict[str, list] = {"f": [], "b": []}
@@ -198,31 +209,27 @@ class Tagger:
         for k in range(steps - 2, -1, -1):
             b[k] = np.where(mask[k + 1][:, None], _logsum(t + (e[k + 1] + b[k + 1])[:, None, :], 2), b[k + 1])
         z = _logsum(a[-1], 1)
-        de, dt, rows = np.exp(a + b - z[None, :, None]) * mask[:, :, None], np.zeros_like(t), np.arange(n)
-        gold = np.zeros(n)
-        for k in range(steps):
-            gold += e[k, rows, y[:, k]] * mask[k]
-            de[k, rows, y[:, k]] -= mask[k]
-            if k:
-                both = np.exp(a[k - 1][:, :, None] + t + (e[k] + b[k])[:, None, :] - z[:, None, None]) * mask[k][:, None, None]
-                dt += both.sum(axis=0)
-                np.add.at(dt, (y[:, k - 1], y[:, k]), -mask[k].astype(float))
-                gold += t[y[:, k - 1], y[:, k]] * mask[k]
-        de /= n
+        tags, live = y.T, mask[1:]
+        held = np.eye(TAGS)[tags] * mask[:, :, None]
+        de = (np.exp(a + b - z[None, :, None]) * mask[:, :, None] - held) / n
+        both = np.exp(a[:-1][:, :, :, None] + t + (e[1:] + b[1:])[:, :, None, :] - z[None, :, None, None]) * live[:, :, None, None]
+        dt = both.sum(axis=(0, 1)) - np.einsum("kni,knj->ij", held[:-1], held[1:])
+        gold = (e * held).sum(axis=(0, 2)) + (t[tags[:-1], tags[1:]] * live).sum(axis=0)
         grads = {"o": np.einsum("knh,knt->ht", state, de), "c": de.sum(axis=(0, 1)), "t": np.where(ALLOWED, dt / n, 0)}
         ds, width = de @ self.p["o"].T, self.p["hf"].shape[0]
         for side, part in (("f", ds[:, :, :width]), ("b", ds[:, :, width:])):
             wh = self.p[f"h{side}"]
-            gx, gh = np.zeros_like(self.p[f"x{side}"]), np.zeros_like(wh)
+            gh, inputs, places = np.zeros_like(wh), [], []
             dh, dc = np.zeros((n, width)), np.zeros((n, width))
             for k, i, f, o, g, tc, held, before, live in reversed(tapes[side]):
                 dh = (dh + part[k]) * live
                 dc = (dc + dh * o * (1 - tc * tc)) * live
                 dz = np.concatenate([dc * g * i * (1 - i), dc * held * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(gx, x[:, k], dz)
+                inputs.append(dz)
+                places.append(x[:, k])
                 gh += before.T @ dz
                 dh, dc = dz @ wh.T, dc * f
-            grads[f"x{side}"], grads[f"h{side}"] = gx, gh
+            grads[f"x{side}"], grads[f"h{side}"] = np.eye(CLASSES)[np.concatenate(places)].T @ np.concatenate(inputs), gh
         return float((z - gold).mean()), grads
 
 
@@ -267,7 +274,7 @@ def _redrawn(kind: int, span: str, rng: np.random.Generator) -> str:
         digits = re.sub("[^0-9]", "", span)
         glue = ["", "", " ", "-", ".", "  "][way]
         return glue.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if glue else span
-    return [span, span, span.lstrip("+"), re.sub(r"[()]", "", span), re.sub(r"[^0-9+]+", "-", span), re.sub(r"[^0-9+]+", " ", span)][way]
+    return [span, re.sub(r"^\+[0-9]+ ", "", span), span.lstrip("+"), re.sub(r"[()]", "", span), re.sub(r"[^0-9+]+", "-", span), re.sub(r"[^0-9+]+", " ", span)][way]
 
 
 def _decoy(rng: np.random.Generator) -> str:
@@ -294,7 +301,7 @@ def windows_of(snippets: list[tuple[str, list[tuple[int, int, int]]]], size: int
             a, _, b = spans[0] if spans else (len(text) // 2, 0, len(text) // 2)
             left, right = text[max(0, a - 40) : a], text[b : b + 40]
             middle, own = "", []
-            for _ in range(1 + (rng.random() < 0.3)):
+            for _ in range(1 + (rng.random() < 0.5)):
                 if rng.random() < 0.25:
                     middle += ("" if not middle else " ") + _decoy(rng)
                     continue
@@ -363,8 +370,9 @@ def _decoded(model: Tagger, texts: list[str], at: list[tuple[int, int, int]]) ->
             x[r, : b - a] = classes(texts[t][a:b])
         e = model.emissions(x)
         tags = model.decode(e)
-        sure = _softmax(e)
-        for r in np.flatnonzero((tags > 0).any(axis=1)):
+        hold = np.flatnonzero((tags > 0).any(axis=1))
+        sure = model.marginals(e[:, hold])
+        for place, r in enumerate(hold):
             t, a, b = own[r]
             i = 0
             while i < b - a:
@@ -374,7 +382,7 @@ def _decoded(model: Tagger, texts: list[str], at: list[tuple[int, int, int]]) ->
                 kind, j = (tags[r, i] - 1) // 2, i + 1
                 while j < b - a and tags[r, j] == 2 + 2 * kind:
                     j += 1
-                confidence = float(np.mean(sure[np.arange(i, j), r, 1 + 2 * kind] + sure[np.arange(i, j), r, 2 + 2 * kind]))
+                confidence = float(np.mean(sure[i:j, place, 1 + 2 * kind] + sure[i:j, place, 2 + 2 * kind]))
                 found.setdefault(t, []).append((a + i, a + j, int(kind), confidence, i == 0 and a > 0, j == b - a and b < len(texts[t])))
                 i = j
     return found
@@ -495,9 +503,13 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def digest(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every document: numbers and hash of the patterns'
     spans, and all spans as ``kind:start:end``, by start and kind."""
     base = F.filter("spans", lambda s: ~s["added"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return find(docs, ["doc_id"], model).select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

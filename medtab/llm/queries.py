@@ -13,6 +13,7 @@ from medtab.llm.common import table
 from medtab.llm.conversation_repair import repair
 from medtab.llm.jaccard_join import jaccard_components
 from medtab.llm.language_id import language_id
+from medtab.llm.personal_data import digest
 from medtab.llm.quality_rules import quality
 from medtab.llm.token_store import token_digest
 from medtab.llm.toxicity import toxicity
@@ -74,6 +75,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: what the patterns find, and what a tagger trained on it adds."""
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector along the first components of the covariance of all distinct vectors, scaled to unit variance."""
     return whiten(table(spark, sf_dir, "embeddings"))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_personal_data": op12_personal_data,
     "op13_whitening": op13_whitening,
 }
 
