@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medtab.llm.common import fold, give_back
-from medtab.llm.sampling import within_bytes
+from medtab.llm.sampling import SAMPLE_BYTES, within_bytes
 
 #: Slots of the hashed table, embedding width, and the character n-gram lengths.
 SLOTS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3)
@@ -89,8 +89,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     """Stochastic gradient descent over embeddings and classifier; temperature and rejection from held-back rows."""
     classes = sorted({lang for _, lang in rows})
-    if not classes:
-        return LanguageModel(["und"], np.zeros((SLOTS, 1)), np.zeros(1), 1.0, 0.0)
+    if not classes:  # nothing is known, so nothing is accepted: no score reaches the cut
+        return LanguageModel(["und"], np.zeros((SLOTS, 1)), np.zeros(1), 1.0, 2.0)
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = int(len(rows) * HELD_BACK)
@@ -122,12 +122,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     return model
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``sample`` labelled documents outside the held-out fold (``2 * sample`` at most), by a hash of the id."""
+def training_rows(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """About ``sample`` labelled documents outside the held-out fold, by a hash of the id, with ``sample_bytes``
+    of text at most; a text that alone has more than a 64th of that teaches nothing."""
     rows = docs.where("lang is not null").where(fold("doc_id", 5) != 0)
     share = min(1.0, sample / max(1, rows.count()))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).where("length(text) > 0")
-    return sorted((r.text, r.lang) for r in within_bytes(picked.select("doc_id", "text", "lang").limit(2 * sample)).collect())
+    return sorted((r.text, r.lang) for r in within_bytes(picked.select("doc_id", "text", "lang"), sample_bytes).collect())
 
 
 def _score(model: LanguageModel):
@@ -149,20 +150,20 @@ def _score(model: LanguageModel):
     return run
 
 
-def identify(docs: DataFrame, keep: list[str], model: LanguageModel | None = None) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], model: LanguageModel | None = None, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Columns ``keep`` with ``lang_pred``, ``score`` (of the winner, 0 to 1) and ``rejected``, one row per document.
 
     Null, empty and letterless texts are ``und`` with score 0 and rejected; without any training row all lettered texts
-    are ``und`` too. Others get a learned language and are rejected where the score is under the calibrated cut. Ties go to
+    are ``und`` and rejected too. Others get a learned language and are rejected where the score is under the calibrated cut. Ties go to
     the language first in order. Further columns are ignored; repeated rows are scored alike.
     """
-    model = model or train(training_rows(docs))
+    model = model or train(training_rows(docs, sample_bytes=sample_bytes))
     held = docs.select(*keep, F.col("text").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "__text")
     return held.mapInArrow(_score(model), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
-def language_id(docs: DataFrame) -> DataFrame:
+def language_id(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected)`` of every document."""
-    out = identify(docs, ["doc_id"])
+    out = identify(docs, ["doc_id"], sample_bytes=sample_bytes)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medtab.llm.common import fold
-from medtab.llm.sampling import labelled_sample, within_bytes
+from medtab.llm.sampling import SAMPLE_BYTES, labelled_sample, within_bytes
 
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = str.maketrans("асеорхуіјѕԁһԛԝαεορτυνικ", "aceopxyijsdhqwaeoptuvik")
@@ -160,15 +160,18 @@ def _score(lexicon: Lexicon):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document; labels are learned outside the held-out fold.
 
+    They are learned from about ``sample`` texts with ``sample_bytes`` at most; a text that alone has more than a 64th of that
+    teaches nothing.
+
     Null and empty texts have no match and get the score of that; without toxic or other labels every score is near 0. The
     lexicon matches whole words and word beginnings; where several begin at one word the heaviest counts. Repeated rows are
     scored alike; further columns are ignored.
     """
     picked = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", fold("doc_id", 3) != 1, sample)
-    rows = sorted((r.doc_id, r.text or "", r.label) for r in within_bytes(picked.select("doc_id", "text", "label")).collect())
+    rows = sorted((r.doc_id, r.text or "", r.label) for r in within_bytes(picked.select("doc_id", "text", "label"), sample_bytes).collect())
     lexicon = learn([(t, y) for _, t, y in rows])
     scored = docs.select("doc_id", "text").mapInArrow(_score(lexicon), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -125,12 +125,44 @@ def test_batch_scores_equal_features_text_by_text(spark):
     assert again.table is None and np.array_equal(again.scores(texts), m.scores(texts))
 
 
-def test_sample_stays_within_its_bytes(spark, docs):
-    from medtab.llm.sampling import within_bytes
+def _places(spark, long):
+    """200 short texts and one long one, whose id is such that its hash comes first, in the middle or last."""
+    from pyspark.sql import functions as F
 
-    rows = docs.select("doc_id", "text")
-    assert within_bytes(rows).count() == 12 and within_bytes(rows, 0).where("length(text) > 0").count() == 0
-    assert within_bytes(rows, 1000).selectExpr("coalesce(sum(octet_length(text)), 0)").first()[0] <= 1000
+    ids = spark.range(1000, 3000).select("id", F.xxhash64(F.col("id").alias("doc_id"), F.lit(long).alias("text"), F.lit(29)).alias("h")).orderBy("h").collect()
+    return [ids[0].id, ids[len(ids) // 2].id, ids[-1].id]
+
+
+def test_a_long_text_pushes_no_other_out_of_the_sample(spark):
+    from medtab.llm.sampling import PART, ROW, within_bytes
+
+    short = [(i, f"{i:024d}") for i in range(200)]
+    for most, want in (((ROW + 24) * 300, 200), ((ROW + 24) * 38, 38)):
+        long = "x" * (most // PART + 1)
+        for at in _places(spark, long):
+            got = within_bytes(spark.createDataFrame([*short, (at, long), (at, long)], "doc_id long, text string"), most).collect()
+            assert len(got) == want and all(r.text != long for r in got)
+    rows = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "a")], "doc_id long, text string")
+    assert within_bytes(rows).count() == 4 and within_bytes(rows, 0).count() == 0
+
+
+def test_languages_are_named_with_a_text_above_the_bound(spark):
+    from medtab.llm.language_id import identify
+
+    rows = [(i, "the cat sat on the mat with a hat" if i % 2 else "le chat est sur la table avec une rose", "en" if i % 2 else "fr") for i in range(300)]
+    bound = 200_000
+    long = "word " * bound
+    for at in _places(spark, long):
+        df = spark.createDataFrame([*rows, (at, long, "en")], "doc_id long, text string, lang string")
+        got = {r.doc_id: (r.lang_pred, r.rejected) for r in identify(df, ["doc_id"], sample_bytes=bound).collect()}
+        assert sum(got[i][0] == lang for i, _, lang in rows) >= 297 and sum(r for _, r in got.values()) <= 5
+
+
+def test_nothing_learned_rejects_everything(spark):
+    from medtab.llm.language_id import identify
+
+    got = identify(spark.createDataFrame([(1, "some words", None), (2, None, "en")], "doc_id long, text string, lang string"), ["doc_id"]).collect()
+    assert all(r.lang_pred == "und" and r.rejected for r in got) and len(got) == 2
 
 
 def test_language_model_needs_no_rows():
