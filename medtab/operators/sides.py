@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a table, written as JSON, up to which it is broadcast.
-SMALL_BYTES = 32 << 20
+#: Bytes, as the optimiser estimates a side from its files and rows, up to which it is broadcast. Files are compressed; in memory
+#: this is some tens of megabytes.
+SMALL_BYTES = 8 << 20
 
 
-def small(side: DataFrame) -> DataFrame:
-    """``side`` marked for broadcast where its measured bytes are within SMALL_BYTES, else as it is: the join then shuffles."""
-    measured = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
-    return F.broadcast(side) if (measured or 0) <= SMALL_BYTES else side
+def is_small(side: DataFrame) -> bool:
+    return int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def small(side: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """``side`` marked for broadcast where its estimated bytes are within SMALL_BYTES, else as it is: the join then shuffles, or
+    adaptive execution broadcasts it by its measured size. No job runs for that. ``bound`` is a table of which ``side`` has
+    at most one narrow row for each of its rows, whose estimate then counts."""
+    return F.broadcast(side) if is_small(side if bound is None else bound) else side
