@@ -46,13 +46,21 @@ def tables_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.tables_plain(pages).select("doc_id", "row_no", "title", "name", "value", "unit")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, p_name AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw, unit, lo || ' - ' || hi AS reference_range FROM items WHERE p_name NOT LIKE 'red %'")
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT l_orderkey, rn, p_name || CASE rn % 3 WHEN 1 THEN ' B12' ELSE '' END AS name, CASE rn % 4 WHEN 2 THEN '<' ELSE '' END || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw, unit, lo || ' - ' || hi AS reference_range,
+  row_number() OVER (PARTITION BY l_orderkey, p_name, rn % 3 = 1 ORDER BY rn) AS k FROM items WHERE rn % 5 <> 0 AND unit <> '%')
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, name, value_raw, CASE WHEN value_raw LIKE '<%' THEN NULL ELSE CAST(value_raw AS DOUBLE) END AS value_num, unit, reference_range FROM c WHERE k = 1 AND (name LIKE '% B12' OR name NOT LIKE 'red %')""")
 def cell_count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows "name value lo - hi unit"; names that are known already (here: red things) are skipped."""
+    """Rows "name value lo - hi unit", every second with pipes, some with digits in the name or a sign before the value. Skipped are
+    names that are known already (here: red things), administrative ones (every fifth row) and rows without a unit."""
     li = synth.items(spark, sf_dir)
-    line = F.concat_ws(" ", "p_name", F.col("l_quantity").cast("int").cast("string"), F.concat(F.col("lo").cast("string"), F.lit(" - "), F.col("hi").cast("string")), "unit")
+    rn = F.col("rn")
+    name = F.when(rn % 5 == 0, "Sample ID").otherwise(F.concat("p_name", F.when(rn % 3 == 1, " B12").otherwise("")))
+    value = F.concat(F.when(rn % 4 == 2, "<").otherwise(""), F.col("l_quantity").cast("int").cast("string"))
+    line = F.concat_ws(" ", name, value, F.concat(F.col("lo").cast("string"), F.lit(" - "), F.col("hi").cast("string")), F.when(F.col("unit") != "%", F.col("unit")))
+    piped = F.concat_ws(" | ", name, value, F.concat(F.col("lo").cast("string"), F.lit(" - "), F.col("hi").cast("string")), F.when(F.col("unit") != "%", F.col("unit")))
     known = li.where("p_name like 'red %'").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.upper("p_name").alias("name")).distinct()
-    return facts.cell_count_rows(_sections_of(li, "l_orderkey", "rn", line, "CBC"), known).select("doc_id", "name", "value_raw", "unit", "reference_range")
+    sections = _sections_of(li, "l_orderkey", "rn", F.when(rn % 2 == 0, piped).otherwise(line), "CBC")
+    return facts.cell_count_rows(sections, known).select("doc_id", "name", "value_raw", "value_num", "unit", "reference_range")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'Sagittal diameter L' || rn || '-' || (rn + 1) AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw FROM items")
@@ -66,11 +74,21 @@ def level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.level_measurements(sections).select("doc_id", "name", "value_raw")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, 'The ' || p_name AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value_raw, 'mm' AS unit FROM items")
+@query(f"""WITH {ITEMS_SQL}, i AS (SELECT l_orderkey AS d, rn % 6 AS r, CAST(l_quantity AS INTEGER) AS q, p_name, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS big, string_split(p_name, ' ') AS w,
+  CASE WHEN w[1] IN ('small', 'large') THEN upper(substr(w[2], 1, 1)) || substr(w[2], 2) ELSE big END AS thing FROM items),
+n AS (SELECT d, CASE r WHEN 0 THEN thing WHEN 1 THEN 'Large ' || upper(substr(w[1], 1, 1)) || substr(w[1], 2) || ' ' || upper(substr(w[2], 1, 1)) || substr(w[2], 2) WHEN 2 THEN CASE WHEN thing = big THEN big ELSE w[2] END || ' Volume' WHEN 4 THEN 'Cyst' ELSE 'Measurement' END AS name,
+  CASE r WHEN 4 THEN q + 1 ELSE q END AS v, CASE r WHEN 0 THEN 'cm' WHEN 2 THEN 'cc' WHEN 4 THEN 'cm' ELSE 'mm' END AS unit FROM i WHERE r < 5
+  UNION ALL SELECT d, thing, q + 2, 'mm' FROM i WHERE r = 0)
+SELECT DISTINCT CAST(d AS VARCHAR) AS doc_id, name, CAST(v AS VARCHAR) AS value_raw, unit FROM n""")
 def sized_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes in narrative text, named by the words before them."""
-    line = F.concat(F.lit("The "), F.col("p_name"), F.lit(" measuring about ~"), F.col("l_quantity").cast("int").cast("string"), F.lit(" mm. "))
-    return facts.sized_objects(_sections_of(synth.items(spark, sf_dir), "l_orderkey", "rn", line, "Impression"), ["ring", "rod"]).select("doc_id", "name", "value_raw", "unit")
+    """Sizes in narrative lines: by subject (two in a line), by the words before them, volumes, without any name, by an organ word; a
+    table line has none."""
+    q, rn = F.col("l_quantity").cast("int"), F.col("rn") % 6
+    big = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    line = (F.when(rn == 0, text(big, ": is enlarged (~", q, "cm), wall ", q + 2, " mm thick.")).when(rn == 1, text("A large ", F.col("p_name"), " measuring ~", q, "mm is there"))
+            .when(rn == 2, text("**", big, ":** normal (Vol~", q, "cc), shape")).when(rn == 3, text("Seen 3 x", q, " times, ", q, " mm off")).when(rn == 4, text("Small cyst near, ", q, " x ", q + 1, " cm")).otherwise(text("| row | ", q, " mm |")))
+    return facts.sized_objects(_sections_of(synth.items(spark, sf_dir), "l_orderkey", "rn", line, "Impression")).select("doc_id", "name", "value_raw", "unit")
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
@@ -249,15 +267,18 @@ def context_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.context_groups(concepts, dims.context_rules(spark)).select("doc_id", "rule", F.size("concepts").alias("n"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS d, unnest(['leak' || l_linestatus || ' seen', 'No clot' || l_linestatus]) AS clause, unnest(['PRESENT', 'ABSENT']) AS assertion FROM lineitem)
-SELECT CAST(d AS VARCHAR) AS doc_id, clause, assertion, count(*) AS n FROM c GROUP BY ALL""")
+@query("""WITH i AS (SELECT l_orderkey AS d, l_linestatus AS s, CAST(l_quantity AS INTEGER) % 2 = 0 AS even FROM lineitem),
+c AS (SELECT d, unnest(CASE WHEN even THEN ['Mitral valve:   leak' || s || ' seen, wide', 'No mass' || s, 'No clot' || s || ', soft edge', 'mild fold', 'No gap, 5 mm', 'AORTIC VALVE: Normal', 'AORTIC VALVE : leak' || s, 'TRICUSPID VALVE: Thin. Opening well. No prolapse', 'Opening well', 'No prolapse']
+    ELSE ['Mitral valve:   leak' || s || ' seen, wide', 'No mass' || s, 'No clot' || s || ', soft edge', 'No gap, 5 mm', 'AORTIC VALVE: Normal', 'AORTIC VALVE : leak' || s, 'TRICUSPID VALVE: Thin. Opening well. No prolapse', 'Opening well', 'No prolapse'] END) AS clause FROM i)
+SELECT DISTINCT CAST(d AS VARCHAR) AS doc_id, CASE WHEN clause = 'mild fold' THEN 'mild leak fold' ELSE clause END AS clause, CASE WHEN clause LIKE 'No %' OR clause LIKE 'TRICUSPID%' THEN 'ABSENT' WHEN clause LIKE '%Normal' OR clause = 'Opening well' THEN 'NORMAL' ELSE 'PRESENT' END AS assertion FROM c""")
 def echo_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sentences of an echo report: valve headers, a "No" sentence, a clause without findings, a number."""
+    """Line items as lines of an echo report: findings without any stop between them ("No mass No clot"), commas that part findings
+    and others that don't, valves that say something short or more, numbers, a table line."""
     li = table(spark, sf_dir, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
-    head = F.when(F.col("l_quantity") % 2 == 0, "Mitral valve: ").otherwise("AORTIC VALVE : ")
-    text = F.concat(head, F.lit("leak"), "l_linestatus", F.lit(" seen. No clot"), "l_linestatus", F.lit(", soft edge; Size: 12.5 mm"))
-    out = facts.echo_clauses(_sections_of(li, "l_orderkey", "o", text, "Findings"), r"(?i)\bleak")
-    return out.groupBy("doc_id", "clause", "assertion").agg(F.count("*").alias("n"))
+    s = F.col("l_linestatus")
+    text = F.concat(F.lit("- **Mitral valve:** leak"), s, F.lit(" seen, wide No mass"), s, F.lit(" No clot"), s, F.lit(", soft edge; EF: 60%\n| No | leak |\nplain words"), F.when(F.col("l_quantity") % 2 == 0, ", mild leak fold").otherwise(""),
+                    F.lit(". No gap, 5 mm\nAORTIC VALVE : Normal TRICUSPID VALVE: Thin. Opening well. No prolapse\nAORTIC VALVE : leak"), s, F.lit(" PASP=34mmHg"))
+    return facts.echo_clauses(_sections_of(li, "l_orderkey", "o", text, "Findings"), r"(?i)\bleak").select("doc_id", "clause", "assertion")
 
 
 @query("""SELECT p_brand AS doc_id, 'Report type: order (confident), abnormal: ' || count(*) FILTER (p_size % 2 = 0) AS head, CAST(count(*) + 4 AS INTEGER) AS n_lines FROM part GROUP BY 1""")
