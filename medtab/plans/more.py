@@ -359,3 +359,77 @@ def ranges_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = ranges.pick_ranges(asked, dim).select(F.col("code").alias("c"), F.col("gender").alias("g"), "low", "high", F.col("unit").alias("std_unit"))
     standard = asked.join(picked, (F.col("code") == F.col("c")) & F.col("gender").eqNullSafe(F.col("g"))).select("doc_id", F.lit(1).alias("concept_no"), F.col("low").alias("std_low"), F.col("high").alias("std_high"), "std_unit")
     return ranges.significance(concepts, standard, dims.unit_conversions(spark)).select("doc_id", "comparison", "range_source")
+
+
+_REPORTS_SQL = f"""{ITEMS_SQL}, i AS (SELECT l_orderkey AS d, o_orderstatus AS st, o_custkey % 2 = 0 AS female, rn, p_name, p_size, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, lead, CAST(l_quantity AS INTEGER) AS q, lo, hi,
+  CASE WHEN rn % 2 = 1 THEN unit WHEN p_size % 2 = 0 THEN '°F' ELSE '°C' END AS u, CASE WHEN rn % 2 = 1 THEN lo || ' - ' || hi ELSE '' END AS ref FROM items JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT DISTINCT d, st, noun, rn % 2 = 0 AS short, lead, lead || CASE WHEN rn % 2 = 1 THEN p_name ELSE noun END AS txt FROM i),
+m AS (SELECT DISTINCT ON (d, p_name, q) * FROM i ORDER BY d, p_name, q, u, ref),
+n AS (SELECT d, list_sort(list(DISTINCT p_name)) AS ns FROM m GROUP BY d), e AS (SELECT d, list(DISTINCT lower(txt)) AS ts FROM f GROUP BY d),
+c AS (SELECT DISTINCT p_name AS c, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part),
+t AS (SELECT f.d, f.st, f.txt, c.c, c.adj, c.noun, ns, ts, [x for x in ns if contains(x, c.c) OR contains(c.c, x)] AS near FROM f JOIN c ON f.short AND f.noun = c.noun JOIN n ON n.d = f.d JOIN e ON e.d = f.d),
+s AS (SELECT d, txt, c, adj, CASE WHEN adj = 'red' THEN CASE WHEN st = 'F' THEN 50 ELSE -20 END WHEN adj = 'hot' THEN -20 ELSE 0 END
+    + CASE WHEN contains(lower(txt), adj) THEN 20 ELSE 10 END + CASE WHEN adj = 'blue' AND len(near) > 0 THEN 15 ELSE 0 END + CASE WHEN len(near) > 0 THEN 20 ELSE 0 END
+    + CASE WHEN adj = 'hot' THEN 10 * len([x for x in ns if contains(x, 'hot') AND (len(near) = 0 OR x < near[1])]) ELSE 0 END
+    + CASE WHEN len(near) > 0 OR len([x for x in ts if contains(x, c)]) > 0 THEN 5 ELSE 0 END + CASE WHEN adj = 'red' THEN 4 ELSE 0 END + CASE WHEN adj = 'old' AND st = 'O' THEN 3 ELSE 0 END AS score FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY d, txt ORDER BY score DESC, c) AS place, coalesce(lead(score) OVER (PARTITION BY d, txt ORDER BY score DESC, c), -1) AS next FROM s),
+z AS (SELECT * FROM k WHERE place = 1 AND score > 0 AND (score - next >= 10 OR (next <= 0 AND score >= 12))),
+v AS (SELECT *, CASE WHEN ref <> '' THEN lo WHEN noun <> 'rod' THEN -10 END AS low, CASE WHEN ref <> '' THEN hi WHEN noun = 'rod' THEN NULL WHEN noun = 'ring' AND female THEN 0 ELSE 4 END AS high,
+  CASE WHEN ref = '' AND noun <> 'rod' AND u = '°F' THEN (q - 32) * 5 / 9.0 ELSE q END AS w, CASE u WHEN '°F' THEN '[degF]' WHEN '°C' THEN 'Cel' ELSE u END AS cu FROM m),
+mm AS (SELECT d, count(*) AS n_measurements, count(*) FILTER (w < low OR w > high) AS a, count(*) FILTER (adj <> 'old') AS x, CAST(sum(low) AS DOUBLE) AS low_sum, CAST(sum(high) AS DOUBLE) AS high_sum, round(sum(w), 2) AS converted_sum, count(*) FILTER (ref = '' AND noun <> 'rod') AS n_standard,
+  min(CASE WHEN adj <> 'old' THEN p_name || ' is ' || q || ' ' || cu || ', ' || CASE WHEN ref = '' THEN 'given without a usable range' WHEN q < lo THEN 'below the reported range' WHEN q > hi THEN 'above the reported range' ELSE 'within the reported range' END || '. A kind of ' || noun END) AS said FROM v GROUP BY d),
+ff AS (SELECT f.d, count(*) AS n_findings, count(*) FILTER (lead = 'Mild ') AS a, count(z.c) AS n_resolved, count(CASE WHEN z.adj <> 'old' THEN 1 END) AS x, string_agg(DISTINCT z.c, ',' ORDER BY z.c) AS resolved FROM f LEFT JOIN z ON z.d = f.d AND z.txt = f.txt GROUP BY f.d),
+y AS (SELECT DISTINCT d, st FROM i)"""
+
+
+def report_tables(spark: SparkSession, sf_dir: str):
+    """Dimension tables of the job, made from the parts: terms that need a document's context, standards by sex, definitions."""
+    from medtab.operators import job
+
+    names = base._names(spark, sf_dir)
+    place = lambda by: F.row_number().over(Window.orderBy(by))
+    nouns = names.select("noun").distinct()
+    lexicon = names.select(F.lit("generic").alias("rule_set"), place("p_name").alias("position"), F.col("p_name").alias("pattern")).unionByName(nouns.select(F.lit("generic").alias("rule_set"), (place("noun") + 1000).alias("position"), F.col("noun").alias("pattern")))
+    forms = names.select(F.col("noun").alias("surface_form"), F.col("p_name").alias("candidate"), F.lit("general").alias("domain"), F.lit(False).alias("is_safety"), place("p_name").alias("line_no"), F.lit(True).alias("ambiguous"))
+    domains = names.where("adjective = 'red'").select(F.col("p_name").alias("term"), F.lit("type f").alias("domain"))
+    signature = [(f"type {x}", i, "title", 0, 0, f"order {x}", 0.0) for i, x in enumerate("fo")]
+    standards = nouns.where("noun <> 'rod'").select(F.concat(F.lit("C-"), "noun").alias("code"), F.explode(F.when(F.col("noun") == "ring", F.array(F.lit("male"), F.lit("female"))).otherwise(F.array(F.lit(None).cast("string")))).alias("gender"))
+    standards = standards.select("code", "gender", F.lit("reference").alias("category"), F.lit(0).alias("interval_no"), F.lit(-10.0).alias("low"), F.when(F.col("gender") == "female", 0.0).otherwise(4.0).alias("high"), F.lit("Cel").alias("unit"))
+    return job.Tables(
+        signatures=spark.createDataFrame(signature, "report_type string, registry_no int, role string, group_no int, position int, pattern string, weight double"), findings=lexicon,
+        anatomy=names.where("adjective = 'blue'").select(F.lit("generic").alias("rule_set"), place("p_name").alias("position"), F.col("p_name").alias("pattern")),
+        links=nouns.select(place("noun").alias("position"), F.col("noun").alias("key"), F.concat(F.lit("red "), "noun").alias("target")),
+        candidates=terms.tagged_candidates(forms, domains, spark.createDataFrame([("warm", "hot")], "domain string, keyword string")),
+        definitions=names.where("adjective <> 'old'").select(F.col("p_name").alias("key"), F.concat(F.lit("A kind of "), "noun").alias("definition"), F.col("noun").alias("category")),
+        vocabulary=names.where("adjective = 'old'").select(F.lit("type o").alias("rule_set"), F.concat(F.lit("zzz "), "noun").alias("key"), F.col("p_name").alias("value")), rule_sets=dims.rule_aliases(spark),
+        codes=nouns.where("noun <> 'rod'").select(F.col("noun").alias("alias"), F.concat(F.lit("C-"), "noun").alias("code")), standards=standards, unit_aliases=dims.unit_aliases(spark), conversions=dims.unit_conversions(spark), context=dims.context_rules(spark), header=[])
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages``: a report of each order with a head, a table (half of its rows without a range) and findings (half of them abbreviated)."""
+    rn, text = F.col("rn"), lambda c: F.col(c).cast("string")
+    li = synth.items(spark, sf_dir)
+    odd = rn % 2 == 1
+    unit = F.when(odd, F.col("unit")).when(F.col("p_size") % 2 == 0, "°F").otherwise("°C")
+    row = F.concat(F.lit("| "), F.col("p_name"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" | "), unit, F.lit(" | "), F.when(odd, F.concat(text("lo"), F.lit(" - "), text("hi"))).otherwise(""), F.lit(" |"))
+    said = F.concat("lead", F.when(odd, F.col("p_name")).otherwise(F.element_at(F.split("p_name", " "), 2)))
+    parts = li.groupBy("l_orderkey").agg(synth._joined("rn", row, "\n").alias("rows"), synth._joined("rn", said, "; ").alias("findings"))
+    both = parts.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    page = F.concat(F.lit("# ORDER "), "o_orderstatus", F.lit(" REPORT\nSex: "), F.when(F.col("o_custkey") % 2 == 0, "female").otherwise("male"), F.lit("\n\n## "), "o_orderpriority", F.lit("\nResults of the order\n| TEST | RESULT | UNIT | REFERENCE |\n|---|---|---|---|\n"), "rows", F.lit("\n\n## FINDINGS\n"), "findings", F.lit(".\n"))
+    return both.select(text("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), page.alias("text"), F.lit("markdown").alias("fmt"), F.lit("primary").alias("extractor"), F.lit(True).alias("success"), F.lit(0).alias("n_images"), F.array().cast("array<string>").alias("errors"))
+
+
+@query(f"""WITH {_REPORTS_SQL} SELECT CAST(y.d AS VARCHAR) AS doc_id, CASE st WHEN 'F' THEN 'type f' WHEN 'O' THEN 'type o' ELSE 'unknown' END AS report_type, CASE st WHEN 'P' THEN 'UNKNOWN' ELSE 'CONFIDENT' END AS status, CAST(n_findings AS INTEGER) AS n_findings, CAST(n_measurements AS INTEGER) AS n_measurements,
+  ff.a + mm.a AS n_abnormal, CAST(ff.x + mm.x AS INTEGER) AS n_explained, CAST(n_resolved AS INTEGER) AS n_resolved, coalesce(resolved, '') AS resolved, CAST(n_standard AS INTEGER) AS n_standard, coalesce(low_sum, 0) AS low_sum, coalesce(high_sum, 0) AS high_sum, converted_sum, said
+FROM y JOIN mm ON mm.d = y.d JOIN ff ON ff.d = y.d""")
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job from pages to reports: types, terms resolved by the document, ranges by sex and unit, explanations."""
+    from medtab.operators import job
+
+    reports = job.full_reports(base.kept(report_pages(spark, sf_dir), "pages"), report_tables(spark, sf_dir))
+    f, m = F.col("key_findings"), F.col("measurements_of_interest")
+    solved = F.transform(F.filter(f, lambda x: x["concept"] != x["original_text"]), lambda x: x["concept"])
+    total = lambda name: F.aggregate(m, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[name], F.lit(0.0)))
+    told = lambda items: F.filter(items, lambda x: x["explanation"].isNotNull())
+    return reports.select("doc_id", "report_type", "status", F.size(f).alias("n_findings"), F.size(m).alias("n_measurements"), "n_abnormal", (F.size(told(f)) + F.size(told(m))).alias("n_explained"), F.size(solved).alias("n_resolved"), F.array_join(F.array_sort(F.array_distinct(solved)), ",").alias("resolved"),
+                          F.size(F.filter(m, lambda x: x["range_source"] == "loinc_standard")).alias("n_standard"), total("low").alias("low_sum"), total("high").alias("high_sum"), F.round(total("converted_value"), 2).alias("converted_sum"), F.array_min(F.transform(told(m), lambda x: x["explanation"])).alias("said"))
