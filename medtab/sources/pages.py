@@ -51,9 +51,11 @@ def read_terminology(spark: SparkSession, path: str, ambiguous_domains: list[str
     Slashed forms are several forms; " OR " and ";" separate candidates, which are title-cased; the domain is "general"
     where none is given. ``ambiguous``: more than one candidate, or a domain of the list; ``is_safety``: form of the list.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    start = lines.where(F.upper(F.trim("line")) == "ENTRIES").agg(F.min("line_no").alias("start"))
-    fields = lines.crossJoin(F.broadcast(start)).where(F.col("line_no") > F.col("start")).select("line_no", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("f")).where((F.size("f") >= 2) & (F.get("f", F.lit(0)) != ""))
+    # each file by itself: its lines behind its own ENTRIES line
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("ls"))
+    start = F.array_position(F.transform("ls", lambda x: F.upper(F.trim(x))), "ENTRIES")
+    lines = whole.withColumn("start", start).where("start > 0").select("start", F.posexplode(F.slice("ls", F.col("start") + 1, F.size("ls"))).alias("k", "line"))
+    fields = lines.select((F.col("start") + F.col("k")).cast("int").alias("line_no"), F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("f")).where((F.size("f") >= 2) & (F.get("f", F.lit(0)) != ""))
     forms = fields.select("line_no", F.explode(F.filter(F.transform(F.split(F.get("f", F.lit(0)), "/"), lambda x: F.trim(x)), lambda x: x != "")).alias("surface_form"),
                           F.filter(F.transform(F.split(F.get("f", F.lit(1)), r" OR |;"), lambda x: F.initcap(F.trim(x))), lambda x: x != "").alias("cs"),
                           F.coalesce(F.nullif(F.try_element_at("f", F.lit(3)), F.lit("")), F.lit("general")).alias("domain"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from medtab import schemas
-from medtab.operators import layout, quality
+from medtab.operators import job, layout, quality
+from medtab.sources.scratch import kept
 
 ACCEPTED = ["markdown", "plain"]
 
@@ -30,6 +32,9 @@ def status_of(pages: DataFrame, classified: DataFrame | None = None) -> DataFram
     return out.select("doc_id", F.when(error.isNull(), "done").otherwise("failed").alias("status"), error.alias("error"))
 
 
+_STATUS = "doc_id string, status string, error string"
+
+
 def run_intake(spark: SparkSession, folder: str, out: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Drain the landing folder: each micro-batch is processed and its job statuses written under its batch id.
 
@@ -37,6 +42,8 @@ def run_intake(spark: SparkSession, folder: str, out: str, checkpoint: str, proc
     columns of status rows (by default ``status_of``).
     """
     step = process or status_of
+    # an empty batch before the first, so that readers find a table wherever the stream has run
+    spark.createDataFrame([], f"{_STATUS}, batch_id long").write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         step(df).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -59,3 +66,58 @@ def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "arrived") ->
 def new_terms(terms: DataFrame, definitions: DataFrame) -> DataFrame:
     """Terms not looked up yet: distinct, and without a definition row (also one of no result)."""
     return terms.select(F.lower(F.trim("term")).alias("key")).where("key <> ''").distinct().join(definitions.select(F.lower("key").alias("key")), "key", "left_anti")
+
+
+def run_reports(spark: SparkSession, folder: str, out: str, checkpoint: str, tables: job.Tables, write: Callable[[DataFrame, str], None] | None = None) -> None:
+    """Drain the landing folder through the whole job: statuses, concepts and final reports of each micro-batch.
+
+    Before the work a batch states its documents as "processing". Then its tables are written, each into the batch's own
+    folder, and last its manifest: readers see batches with a manifest only, so several tables appear at once. A batch that
+    runs again after a failure, between two tables or anywhere else, overwrites its own folders. Documents whose type is
+    UNKNOWN or AMBIGUOUS fail like those that miss the quality gate, and have no report.
+    """
+    put = write or (lambda df, path: df.write.mode("overwrite").parquet(path))
+    spark.createDataFrame([], _STATUS).write.mode("overwrite").parquet(f"{out}/states/batch=-1/phase=0")
+    spark.createDataFrame([], "at timestamp").write.mode("overwrite").parquet(f"{out}/manifest/batch=-1")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        pages = kept(df, "batch_pages")
+        started = pages.select("doc_id").distinct().select("doc_id", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error"))
+        put(started, f"{out}/states/batch={batch_id}/phase=0")
+        fit = pages.where(F.coalesce("fmt", F.lit("")).isin(ACCEPTED) & F.coalesce("success", F.lit(True)))
+        with job.plain_unions(df.sparkSession):
+            sections, rows = job.parsed(fit)
+            kinds = kept(job.classified(fit, sections, rows, tables), "classified")
+            known = kinds.where(~F.col("status").isin("UNKNOWN", "AMBIGUOUS"))
+            concepts = kept(job.facts_of(sections, rows, known, tables), "concepts")
+        put(concepts, f"{out}/tables/concepts/batch={batch_id}")
+        put(job.reported(sections, known, concepts, tables), f"{out}/tables/reports/batch={batch_id}")
+        put(status_of(pages, kinds), f"{out}/states/batch={batch_id}/phase=1")
+        put(df.sparkSession.range(1).select(F.current_timestamp().alias("at")), f"{out}/manifest/batch={batch_id}")
+
+    page_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def published(spark: SparkSession, out: str, name: str, schema: str | StructType) -> DataFrame:
+    """Rows of a table ("concepts", "reports") of all batches that have a manifest, with ``batch``; empty where there is none yet.
+
+    A document that was delivered again stands in each of its batches; `latest` keeps the last."""
+    done = spark.read.parquet(f"{out}/manifest").select("batch").where("batch >= 0")
+    if done.isEmpty():
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.parquet(f"{out}/tables/{name}").join(F.broadcast(done), "batch", "left_semi")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of published rows those of each document's last batch."""
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"], "left_semi")
+
+
+def states(spark: SparkSession, out: str) -> DataFrame:
+    """``(doc_id, status, error, batch)``: each document's last state. What a batch without a manifest wrote after its start does
+    not count yet."""
+    done = spark.read.parquet(f"{out}/manifest").select(F.col("batch"), F.lit(True).alias("done"))
+    rows = spark.read.parquet(f"{out}/states").join(F.broadcast(done), "batch", "left").where("phase = 0 or done")
+    last = F.max_by(F.struct("status", "error", "batch"), F.struct("batch", "phase")).alias("s")
+    return rows.groupBy("doc_id").agg(last).select("doc_id", "s.status", "s.error", "s.batch")
