@@ -11,11 +11,17 @@ SMALL_BYTES = 8 << 20
 
 
 def is_small(side: DataFrame) -> bool:
-    return int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    """By the optimiser's estimate; rows that the driver made have none, so a side made of them is measured by a job."""
+    plan = side._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) <= SMALL_BYTES:
+        return True
+    if "LogicalRDD" not in plan.toString():
+        return False
+    return (side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0) <= SMALL_BYTES
 
 
 def small(side: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """``side`` marked for broadcast where its estimated bytes are within SMALL_BYTES, else as it is: the join then shuffles, or
-    adaptive execution broadcasts it by its measured size. No job runs for that. ``bound`` is a table of which ``side`` has
+    adaptive execution broadcasts it by its measured size. ``bound`` is a table of which ``side`` has
     at most one narrow row for each of its rows, whose estimate then counts."""
     return F.broadcast(side) if is_small(side if bound is None else bound) else side
