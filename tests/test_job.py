@@ -24,7 +24,7 @@ def tables(spark):
         signatures=one([("echocardiography", 0, "title", 0, 0, "echo report", 0.0)], "report_type string, registry_no int, role string, group_no int, position int, pattern string, weight double"),
         findings=one([("echocardiography", 1, "mr"), ("echocardiography", 2, "clot"), ("echocardiography", 3, "la"), ("generic", 1, "pain")], "rule_set string, position int, pattern string"),
         anatomy=one([("echocardiography", 1, "mitral valve"), ("echocardiography", 2, "la")], "rule_set string, position int, pattern string"), links=one([(1, "la", "left atrium"), (2, "mitral", "mitral valve")], "position int, key string, target string"),
-        candidates=terms.tagged_candidates(forms, one([("mitral regurgitation", "cardiovascular")], "term string, domain string"), one([("cardiovascular", "mitral"), ("administration", "record")], "domain string, keyword string")),
+        candidates=kept(terms.tagged_candidates(forms, one([("mitral regurgitation", "cardiovascular")], "term string, domain string"), one([("cardiovascular", "mitral"), ("administration", "record")], "domain string, keyword string")), "candidates"),
         definitions=one([("Mitral Regurgitation", "Blood flows back.", "VALVULAR_FINDING"), ("EF", "Share of blood pumped.", "FUNCTION")], "key string, definition string, category string"), rule_sets=dims.rule_aliases(spark),
         codes=one([("temperature", "T")], "alias string, code string"), standards=one([("T", "male", "reference", 0, 36.0, 37.5, "Cel"), ("T", "female", "reference", 1, 36.0, 37.0, "Cel")], "code string, gender string, category string, interval_no int, low double, high double, unit string"),
         unit_aliases=dims.unit_aliases(spark), conversions=dims.unit_conversions(spark), context=dims.context_rules(spark))
