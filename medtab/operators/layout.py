@@ -39,19 +39,21 @@ def select_extractor(candidates: DataFrame) -> DataFrame:
 def rebuild_lines(words: DataFrame, line_gap: float = LINE_GAP, column_gap: float = COLUMN_GAP) -> DataFrame:
     """Word boxes as visual lines ``(doc_id, page, line_no, line)``; a wide gap between words becomes " | ".
 
-    Words join a line while their centre is within the gap of the word before them in height (chained, so drifting lines
-    may merge), and stand by x0 in it.
+    Words come in the order of ``word_no`` (then height, x0). Each joins the first line whose first word's centre is within the gap of
+    its own in height, or begins a line, so a drifting baseline breaks instead of running on. Lines stand by the height of
+    their first word, words by x0. Words without a height share a last line; blank ones are left out.
     """
-    centre = (F.col("y0") + F.col("y1")) / 2
-    order = Window.partitionBy("doc_id", "page").orderBy("yc", "x0", "word_no")
-    placed = words.where(strip(F.col("text")) != "").withColumn("yc", centre)
-    step = F.when(F.col("yc") - F.lag("yc").over(order) > line_gap, 1).otherwise(0)
-    lined = placed.withColumn("new", step).withColumn("line_no", F.sum("new").over(order) + 1)
-    across = Window.partitionBy("doc_id", "page", "line_no").orderBy("x0", "word_no")
-    glue = F.when(F.lag("x1").over(across).isNull(), "").when(F.col("x0") - F.lag("x1").over(across) > column_gap, " | ").otherwise(" ")
-    joined = lined.withColumn("bit", F.concat(glue, strip(F.col("text"))))
-    bits = F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "bit"))), lambda s: s["bit"])
-    return joined.groupBy("doc_id", "page", "line_no").agg(F.array_join(bits, "").alias("line"))
+    height = F.coalesce((F.col("y0") + F.col("y1")) / 2, F.lit(1e300))
+    word = F.struct("word_no", height.alias("y"), "x0", "x1", strip(F.col("text")).alias("text"))
+    per_page = words.where(strip(F.col("text")) != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    near = lambda a, w: F.abs(a - w["y"]) <= line_gap
+    firsts = F.aggregate("ws", F.array().cast("array<double>"), lambda seen, w: F.when(F.exists(seen, lambda a: near(a, w)), seen).otherwise(F.concat(seen, F.array(w["y"]))))
+    placed = per_page.withColumn("firsts", firsts).select("doc_id", "page", F.explode(F.transform("ws", lambda w: F.struct(F.get(F.filter("firsts", lambda a: near(a, w)), F.lit(0)).alias("first"), w["x0"].alias("x0"), w["word_no"].alias("word_no"), w["y"].alias("y"), w["x1"].alias("x1"), w["text"].alias("text")))).alias("w"))
+    lines = placed.groupBy("doc_id", "page", F.col("w.first").alias("first")).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    gap = lambda w, i: w["x0"] - F.get("ws", i - 1)["x1"] > column_gap
+    bits = F.transform("ws", lambda w, i: F.concat(F.when(i == 0, "").when(gap(w, i), " | ").otherwise(" "), w["text"]))
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("first"))
+    return lines.select("doc_id", "page", number.alias("line_no"), F.array_join(bits, "").alias("line"))
 
 
 def assemble(pages: DataFrame, marker: bool = True) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medtab import schemas
+from medtab.sources import checked
 
 #: A stored report as nested JSON.
 REPORT = ("document struct<file_name:string,page_count:int,source_type:string,extractor:string>, sections array<struct<title:string,page:int,text:string>>, "
@@ -34,15 +35,32 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return as_pages(spark.read.format(fmt).load(path))
 
 
+def checked_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """``pages`` and the failures of what can't be read as one: broken records, cut-off files, rows without a document."""
+    if fmt == "text":
+        rows, failures = checked.read_text(spark, path)
+        return as_pages(rows.select(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1).alias("doc_id"), F.col("value").alias("text"), F.lit("plain").alias("fmt"))), failures
+    needed = F.coalesce("doc_id", F.lit("")) != ""
+    rows, failures = checked.read_json(spark, path, checked.RAW_PAGES, needed) if fmt == "json" else checked.read_parquet(spark, path, checked.RAW_PAGES, needed)
+    return as_pages(rows), failures
+
+
 def read_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Stored nested reports as ``documents``, ``sections``, ``table_rows`` and ``measurements`` tables."""
-    raw = spark.read.schema(REPORT).option("multiLine", True).json(path).withColumn("doc_id", F.coalesce("document.file_name", F.col("_metadata.file_name")))
+    """Stored nested reports as ``documents``, ``sections``, ``table_rows`` and ``measurements`` tables, and ``failures`` of files
+    that hold no such report."""
+    parsed, failures = checked.read_json(spark, path, REPORT, _some_part(), whole=True)
+    raw = parsed.withColumn("doc_id", F.coalesce("document.file_name", F.element_at(F.split("file", "/"), -1)))
     sections = raw.select("doc_id", F.posexplode("sections").alias("k", "s")).select("doc_id", "s.page", (F.col("k") + 1).alias("section_no"), "s.title", "s.text")
     tables = raw.select("doc_id", F.posexplode("tables").alias("t", "x")).select("doc_id", "x.page", (F.col("t") + 1).alias("table_no"), "x.title", "x.headers", F.posexplode("x.rows").alias("r", "y"))
     rows = tables.select("doc_id", "page", "table_no", (F.col("r") + 1).alias("row_no"), "title", "headers", F.array("y.name", "y.value", "y.unit", "y.reference_range").alias("cells"), "y.*",
                          F.create_map().cast("map<string,string>").alias("extra"))
     found = raw.select("doc_id", F.explode("measurements").alias("m")).select("doc_id", "m.page", "m.name", "m.value", "m.unit", "m.reference_range", "m.source_section")
-    return {"documents": raw.select("doc_id", "document.*"), "sections": sections, "table_rows": rows, "measurements": found}
+    return {"documents": raw.select("doc_id", "document.*"), "sections": sections, "table_rows": rows, "measurements": found, "failures": failures}
+
+
+def _some_part() -> Column:
+    """A report has one of its parts at least."""
+    return F.col("document").isNotNull() | F.col("sections").isNotNull() | F.col("tables").isNotNull() | F.col("measurements").isNotNull()
 
 
 def read_terminology(spark: SparkSession, path: str, ambiguous_domains: list[str] | None = None, safety: list[str] | None = None) -> DataFrame:
@@ -67,11 +85,16 @@ def read_terminology(spark: SparkSession, path: str, ambiguous_domains: list[str
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """A bundle of observation definitions as ``reference_ranges``, each with its first coding's code."""
-    raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+    """Bundles of observation definitions as ``reference_ranges``, each with its first coding's code."""
+    return checked_ranges(spark, path)[0]
+
+
+def checked_ranges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``reference_ranges`` and the failures of files that hold no bundle."""
+    raw, failures = checked.read_json(spark, path, BUNDLE, F.col("entry").isNotNull(), whole=True)
     one = raw.select(F.explode("entry.resource").alias("r")).select(F.get("r.code.coding", F.lit(0))["code"].alias("code"), F.posexplode("r.qualifiedInterval").alias("interval_no", "q"))
     return one.where("code is not null").select("code", F.lower("q.gender").alias("gender"), F.coalesce("q.category", F.lit("reference")).alias("category"), "interval_no",
-                                                F.col("q.range.low.value").alias("low"), F.col("q.range.high.value").alias("high"), F.coalesce("q.range.low.unit", "q.range.high.unit").alias("unit"))
+                                                F.col("q.range.low.value").alias("low"), F.col("q.range.high.value").alias("high"), F.coalesce("q.range.low.unit", "q.range.high.unit").alias("unit")), failures
 
 
 def write_store(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
@@ -82,10 +105,12 @@ def write_store(tables: dict[str, DataFrame], path: str, mode: str = "overwrite"
             df.select("doc_id", F.to_json(F.struct("*")).alias("report")).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}_json")
 
 
-def failure_rows(pages: DataFrame) -> DataFrame:
-    """Documents none of whose pages succeeded, as ``quality`` rows of status FAILED with their errors."""
+def failure_rows(pages: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Documents none of whose pages succeeded, as ``quality`` rows of status FAILED with their errors; of ``failures`` of a checked
+    reader, the files too."""
     docs = pages.groupBy("doc_id").agg(F.max("success").alias("any"), F.array_distinct(F.flatten(F.collect_list("errors"))).alias("warnings"))
-    return docs.where(~F.coalesce("any", F.lit(False))).select("doc_id", F.lit("FAILED").alias("status"), F.lit(0.0).alias("aggregate"), F.array_sort("warnings").alias("warnings"))
+    failed = docs.where(~F.coalesce("any", F.lit(False))).select("doc_id", F.lit("FAILED").alias("status"), F.lit(0.0).alias("aggregate"), F.array_sort("warnings").alias("warnings"))
+    return failed if failures is None else failed.unionByName(checked.as_quality(failures))
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

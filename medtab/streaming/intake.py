@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from medtab import schemas
 from medtab.operators import job, layout, quality
+from medtab.operators.report import NO_RESULT
+from medtab.operators.sides import small
 from medtab.sources.scratch import kept
 
 ACCEPTED = ["markdown", "plain"]
@@ -68,6 +72,50 @@ def new_terms(terms: DataFrame, definitions: DataFrame) -> DataFrame:
     return terms.select(F.lower(F.trim("term")).alias("key")).where("key <> ''").distinct().join(definitions.select(F.lower("key").alias("key")), "key", "left_anti")
 
 
+def definitions(spark: SparkSession, out: str) -> DataFrame:
+    """``(key, definition, category, stream, batch)``: what `ask_once` has asked for; no answer stands as report.NO_RESULT."""
+    return spark.read.parquet(out)
+
+
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint: batches are numbered from 0 again without it."""
+    path = f"{checkpoint}/stream_name"
+    try:
+        return spark.read.schema("name string").parquet(path).first()["name"]
+    except AnalysisException:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").write.parquet(path)
+        return spark.read.parquet(path).first()["name"]
+
+
+def ask_once(spark: SparkSession, folder: str, out: str, checkpoint: str, look_up: Callable[[DataFrame], DataFrame], others: list[DataFrame] | None = None,
+             files_per_batch: int = 100) -> None:
+    """Drain a folder of terms (Parquet, ``term``): each term without a definition goes to ``look_up`` once.
+
+    ``look_up`` takes ``(key)`` and gives ``(key, definition, category)``; of several answers the first in order counts, and a key
+    without one is kept as asked without result. The stream's state holds the keys of all its batches; the definitions at the
+    start of each batch (its own table ``out``, which grows, and ``others``) take out what was asked before that state, such
+    as by a stream whose checkpoint is lost. A batch that runs again leaves its own answers out of account and overwrites them.
+    """
+    name = _stream_name(spark, checkpoint)
+    spark.createDataFrame([], "key string, definition string, category string").write.mode("overwrite").parquet(f"{out}/stream=none/batch=-1")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        session = df.sparkSession
+        new = kept(df, "terms")
+        known = definitions(session, out).where((F.col("batch") != batch_id) | (F.col("stream") != name)).select("key")
+        for side in others or []:
+            known = known.unionByName(side.select(F.lower(F.trim("key")).alias("key")))
+        known = known.join(small(new), "key", "left_semi").distinct()  # of a large table only what this batch names
+        asked = kept(new.join(known, "key", "left_anti"), "asked")
+        answers = look_up(asked).groupBy("key").agg(F.min(F.struct("definition", "category")).alias("a"))
+        rows = asked.join(answers, "key", "left").select("key", F.coalesce("a.definition", F.lit(NO_RESULT)).alias("definition"), "a.category")
+        rows.write.mode("overwrite").parquet(f"{out}/stream={name}/batch={batch_id}")
+
+    terms = spark.readStream.schema("term string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    keys = terms.select(F.lower(F.trim("term")).alias("key")).where("key <> ''").dropDuplicates(["key"])
+    keys.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_reports(spark: SparkSession, folder: str, out: str, checkpoint: str, tables: job.Tables, write: Callable[[DataFrame, str], None] | None = None) -> None:
     """Drain the landing folder through the whole job: statuses, concepts and final reports of each micro-batch.
 

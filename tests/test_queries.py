@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from medtab.plans import intake as _intake  # noqa: F401  registers further queries
 from medtab.plans import more as _more  # noqa: F401  registers further queries
 from medtab.plans import queries as core
 
