@@ -83,9 +83,11 @@ def intersect(index: DataFrame, picks: DataFrame, count: int = ANCHORS, slop: in
     return found.where("start >= 0") if not slop else found
 
 
-def match_windows(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+def match_windows(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Matches ``(doc_id, win, start, len)`` and the windows ``(item_id, win, terms)`` they belong to.
 
+    Each text is compared by itself: columns of ``carry`` say which of several rows that share a doc_id a match is in.
+
     With ``slop`` above 0 these are proximity matches; ``start`` is then where the window would start by its rarest term, and
     may be under 0.
     """
@@ -96,10 +98,10 @@ def match_windows(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     spots = cut(spots, "spots")
     # a check against the documents that have a spot, over the words of the span around it
     held = spots.groupBy("doc_id").agg(F.collect_set(F.struct("start", "win")).alias("spots"))
-    texts = docs.select("doc_id", "text").join(held, "doc_id").select("doc_id", words_of(F.col("text")).alias("words"), "spots")
+    texts = docs.select("doc_id", *carry, "text").join(held, "doc_id").select("doc_id", *carry, words_of(F.col("text")).alias("words"), "spots")
     span = lambda s: F.slice("words", F.greatest(s["start"] - slop, F.lit(0)) + 1, F.least(s["start"] - slop, F.lit(0)) + size + 2 * slop)
-    found = texts.select("doc_id", F.explode(F.transform(F.filter("spots", lambda s: s["start"] + size + slop > 0), lambda s: F.struct(
-        s["start"].alias("start"), s["win"].alias("win"), span(s).alias("span")))).alias("s")).select("doc_id", "s.*")
+    found = texts.select("doc_id", *carry, F.explode(F.transform(F.filter("spots", lambda s: s["start"] + size + slop > 0), lambda s: F.struct(
+        s["start"].alias("start"), s["win"].alias("win"), span(s).alias("span")))).alias("s")).select("doc_id", *carry, "s.*")
     found = found.join(small(unique, unique.count()), "win")
     if slop:
         times = lambda words, t: F.size(F.filter(words, lambda w: w == t))
@@ -107,48 +109,50 @@ def match_windows(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
         exact = found.where(F.size(near) > 0).withColumn("near", near).where(F.forall("terms", lambda t: times(F.col("near"), t) >= times(F.col("terms"), t)))
     else:
         exact = found.where(F.slice("span", 1, F.size("terms")) == F.col("terms"))
-    return exact.select("doc_id", "win", "start", F.size("terms").alias("len")).distinct(), wins
+    return exact.select("doc_id", *carry, "win", "start", F.size("terms").alias("len")).distinct(), wins
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row for each row of ``docs``.
 
     A word is hit where it lies inside an exact occurrence of an item's window. Null and empty texts have no words; an
-    empty ``items`` hits nothing; equal windows of several items count for each; rows that repeat a doc_id are taken as
-    copies of one document, and those without a doc_id as clean. Further columns are ignored.
+    empty ``items`` hits nothing; equal windows of several items count for each. Each row is judged by its own text, without
+    a doc_id or with a shared one: postings carry a hash of id and text, and what they lead to is compared text by text
+    under a second hash, so rows that share the first only cost a comparison. Further columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    matches, wins = match_windows(docs, items.select("item_id", "text"), size)
+    docs = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("doc_id"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("row"))
+    matches, wins = match_windows(docs, items.select("item_id", "text"), size, carry=("row",))
     matches = cut(matches, "matches")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    spans = matches.select("doc_id", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    key = ["doc_id", "row"]
+    order = Window.partitionBy(*key).orderBy("start", "end")
+    spans = matches.select(*key, "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     gain = F.greatest(F.lit(0), F.col("end") - F.greatest("start", before))
-    hit = spans.select("doc_id", gain.alias("gain")).groupBy("doc_id").agg(F.sum("gain").alias("n_hit"))
-    named = matches.select("doc_id", "win").distinct().join(small(wins.select("item_id", "win"), wins.count()), "win").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    items_of = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = (docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-           .join(hit, "doc_id", "left").join(items_of, "doc_id", "left"))
+    hit = spans.select(*key, gain.alias("gain")).groupBy(*key).agg(F.sum("gain").alias("n_hit"))
+    named = matches.select(*key, "win").distinct().join(small(wins.select("item_id", "win"), wins.count()), "win").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
+    items_of = named.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = (docs.select("id", *key, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+           .join(hit, key, "left").join(items_of, key, "left"))
     items_col = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
                       F.sha2(F.array_join(items_col, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 #: DuckDB SQL of ``contamination`` over documents and benchmark with windows of ten words.
 SQL = r"""
-WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-dw AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k, least(10, len(w)) AS n
         FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
-          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, i, win.n, item_id FROM grams JOIN win ON grams.k = win.k AND grams.n = win.n),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
-        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+grams AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+          FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN sizes WHERE len(w) >= n)),
+hits AS (SELECT r, i, win.n, item_id FROM grams JOIN win ON grams.k = win.k AND grams.n = win.n),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """

@@ -37,6 +37,21 @@ def test_decontamination_edges(spark, docs, clashing, no_docs):
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    phrase = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, phrase), (None, "clean text"), (None, None), (1, phrase), (1, "clean text here"), (1, phrase + " w0"), (2, phrase), (2, phrase)], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([("a", phrase), ("b", "w0 w1 w2")], "item_id string, text string")).collect()
+    rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got)
+    assert rows == sorted([("None", 12, 12, 2, True), ("None", 2, 0, 0, False), ("None", 0, 0, 0, False), ("1", 12, 12, 2, True), ("1", 3, 0, 0, False), ("1", 13, 12, 2, True), ("2", 12, 12, 2, True), ("2", 12, 12, 2, True)])
+
+
+def test_texts_that_share_the_hash_of_the_index(spark):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, 1, "x a b c"), (7, 2, "x a b d"), (7, 3, "a b c")], "doc_id long, row long, text string")
+    found, _ = decontaminate.match_windows(docs, items, carry=("row",))
+    assert sorted((r.doc_id, r.row, r.start) for r in found.collect()) == [(7, 1, 1), (7, 3, 0)]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b x x c"), (2, "a b c"), (3, "c x x x x x x x x x b")], "doc_id long, text string")
     near, _ = decontaminate.match_windows(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"), slop=2)
