@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medtab.functions.text import SEPARATOR, lines_of, strip, strip_markup
+from medtab.functions.text import BLANK_INSIDE, INSIDE, LINE_END, SEPARATOR, SOLID, once, strip, strip_markup
 
 #: Characters that make a text page, share of text pages of a digital document, line and column gaps.
 TEXT_PAGE_CHARS, DIGITAL_SHARE, LINE_GAP, COLUMN_GAP = 30, 0.5, 3.0, 25.0
@@ -63,19 +65,22 @@ def assemble(pages: DataFrame, marker: bool = True) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(bits), lambda s: s["t"]), "\n\n").alias("text"))
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "page", F.posexplode(lines_of(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-
-
 HEADING = r"^#{1,6}\s+"
 CAPITALS = r"^[A-Z][A-Z0-9\s\-/&():,.]+$"
-
-
-def _sections(pages: DataFrame, heading: Column, title: Column) -> DataFrame:
-    order = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    numbered = page_lines(pages).withColumn("head", heading).withColumn("part", F.sum(F.col("head").cast("int")).over(order))
-    body = F.filter(F.array_sort(F.collect_list(F.struct("line_no", "head", "line"))), lambda s: ~s["head"])
-    out = numbered.groupBy("doc_id", "page", "part").agg(F.max(F.when(F.col("head"), title)).alias("title"), strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n")).alias("text"))
+#: Lines of a whole text as expressions: a line's start, what it may hold, its leading blanks, a character that is none.
+_START, _IN_LINE, _INDENT, _SOLID = rf"(?<!{INSIDE})", INSIDE, BLANK_INSIDE, SOLID
+#: A line in capitals of five characters or more, without the blanks around it, up to its end.
+_LOUD = rf"{_INDENT}*+[A-Z][A-Z0-9 \t\-/&():,.]{{3,}}[A-Z0-9\-/&():,.]{_INDENT}*+(?!{_IN_LINE})"
+
+
+def _sections(pages: DataFrame, heading: str, title: Callable[[Column], Column]) -> DataFrame:
+    """A page is cut before each line that ``heading`` matches from its start, without parting it into rows of lines."""
+    cut = F.split(F.coalesce("text", F.lit("")), rf"{_START}(?={heading})")
+    parts = pages.select("doc_id", "page", F.posexplode(cut).alias("part", "piece"))
+    headed = F.col("piece").rlike(rf"^{heading}")
+    halves = F.split("piece", LINE_END, 2)
+    parts = parts.select("doc_id", "page", "part", F.when(headed, title(halves[0])).alias("title"), F.when(headed, F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).otherwise(F.col("piece")).alias("body"))
+    out = parts.select("doc_id", "page", "part", "title", strip(F.regexp_replace("body", LINE_END, "\n")).alias("text"))
     out = out.where((F.coalesce("title", F.lit("")) != "") | (F.col("text") != ""))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "part"))
     return out.select("doc_id", "page", number.alias("section_no"), F.nullif("title", F.lit("")).alias("title"), "text")
@@ -83,29 +88,34 @@ def _sections(pages: DataFrame, heading: Column, title: Column) -> DataFrame:
 
 def sections_markdown(pages: DataFrame) -> DataFrame:
     """``sections`` of Markdown pages: a heading starts one, on each page anew; what stands before has no title."""
-    return _sections(pages, F.col("line").rlike(HEADING), strip(F.regexp_replace("line", HEADING, "")))
+    return _sections(pages, r"#{1,6}[ \t]", lambda line: strip(F.regexp_replace(line, HEADING, "")))
 
 
 def sections_plain(pages: DataFrame) -> DataFrame:
     """``sections`` of plain pages: a line in capitals of more than four characters starts one; a trailing colon goes."""
-    bare = strip(F.col("line"))
-    return _sections(pages, bare.rlike(CAPITALS) & (F.length(bare) > 4), F.regexp_replace(bare, r":+$", ""))
-
-
-def _blocks(lines: DataFrame, in_table: Column, reset: bool) -> DataFrame:
-    """Lines of tables ``(doc_id, page, block, line_no, line, title)``: runs of two or more, with the line before them."""
-    order = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    marked = lines.withColumn("bare", strip(F.col("line"))).withColumn("cell", in_table)
-    first = F.col("cell") & ~F.coalesce(F.lag("cell").over(order), F.lit(False))
-    marked = marked.withColumn("block", F.sum(first.cast("int")).over(order))
-    frame = Window.partitionBy("doc_id", "page", *(["seen"] if reset else [])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    # lines after the last table and before this one: a table's own lines count with those before it
-    marked = marked.withColumn("seen", F.col("block") - F.col("cell").cast("int"))
-    said = F.last(F.when(~F.col("cell") & (F.col("bare") != ""), F.col("bare")), ignorenulls=True).over(frame)
-    rows = marked.withColumn("before", said).where("cell")
-    whole = Window.partitionBy("doc_id", "page", "block")
-    title = F.first("before").over(whole.orderBy("line_no"))
-    rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("title", title).where("n >= 2")
+    return _sections(pages, _LOUD, lambda line: F.regexp_replace(strip(line), r":+$", ""))
+
+
+#: Lines that begin with a pipe; lines with a column break between two of their characters.
+_PIPED = rf"{_INDENT}*+\|{_IN_LINE}*+"
+_BROKEN = rf"{_INDENT}*+{_SOLID}{_IN_LINE}*? \| {_IN_LINE}*?{_SOLID}{_IN_LINE}*+"
+
+
+def _blocks(pages: DataFrame, line: str, reset: bool) -> DataFrame:
+    """Tables ``(doc_id, page, block, title, lines)``: runs of two or more lines that ``line`` matches, with the line before them.
+
+    Runs are cut out of a page's text at once; between them is what may name the next one: its last line that is not blank.
+    Without ``reset`` a table that follows another after blank lines only is named like that.
+    """
+    run = rf"{_START}{line}(?:(?:{LINE_END}){line})*+"
+    text = F.coalesce("text", F.lit(""))
+    found = pages.select("doc_id", "page", F.split(text, run).alias("gaps"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("runs"))
+    last = F.transform(F.slice("gaps", F.lit(1), F.size("runs")), lambda g: F.nullif(strip(F.element_at(F.split(strip(g), LINE_END), -1)), F.lit("")))
+    if not reset:
+        found = found.withColumn("last", last)
+        last = F.transform("last", lambda g, i: F.coalesce(g, F.try_element_at(F.filter(F.slice("last", F.lit(1), i), lambda x: x.isNotNull()), F.lit(-1))))
+    rows = found.select("doc_id", "page", F.posexplode(F.arrays_zip(last.alias("title"), F.col("runs").alias("run"))).alias("block", "b"))
+    rows = rows.where(F.col("b.run").rlike(LINE_END)).select("doc_id", "page", "block", "b.title", F.transform(F.split("b.run", LINE_END), strip).alias("lines"))
     return rows.withColumn("title", F.when(~F.col("title").contains(" | ") & (F.length("title") < 120), F.col("title")))
 
 
@@ -123,35 +133,24 @@ def column_map(headers: Column) -> Column:
     """struct of each field's 0-based column (null: none): a header goes to the first field whose word it has and that is
     still free; with no value column, the first blank header left over is it."""
     clean = F.transform(headers, lambda h: strip_markup(h))
-    none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("i"), *(none.alias(f) for f in FIELDS))
-
-    def step(acc: Column, h: Column) -> Column:
-        taken = F.lit(False)
-        out = []
-        for f in FIELDS:
-            hit = ~taken & acc[f].isNull() & h.rlike(FIELD_WORDS[f])
-            out.append(F.when(hit, acc["i"]).otherwise(acc[f]).alias(f))
-            taken = taken | hit
-        return F.struct((acc["i"] + 1).alias("i"), *out)
-
-    found = F.aggregate(clean, start, step)
-    used = F.array_compact(F.array(*(found[f] for f in FIELDS)))
-    spare = F.filter(F.transform(clean, lambda h, i: F.when((h == "") & ~F.array_contains(used, i), i)), lambda i: i.isNotNull())
-    return F.struct(found["name"].alias("name"), F.coalesce(found["value"], F.try_element_at(spare, F.lit(1)).cast("int")).alias("value"), found["unit"].alias("unit"),
-                    found["reference_range"].alias("reference_range"))
-
-
-def _table_rows(blocks: DataFrame, cells: Column, strict_parity: bool) -> DataFrame:
-    cut = F.col("bare").rlike(SEPARATOR) if strict_parity else F.col("bare").rlike(r"^\|[\s\-:|]*-[\s\-:|]*\|$")
-    rows = blocks.where(~cut).withColumn("cells", cells)
-    whole = Window.partitionBy("doc_id", "page", "block").orderBy("line_no")
-    rows = rows.withColumn("row_no", F.row_number().over(whole) - 1).withColumn("headers", F.first("cells").over(whole))
-    # one map for each table, not one for each row
-    maps = rows.where("row_no = 0").select("doc_id", "page", "block", column_map(F.col("headers")).alias("m"), F.transform("headers", lambda h: strip_markup(h)).alias("names"))
-    body = rows.where("row_no > 0").join(maps, ["doc_id", "page", "block"])
-    clean = F.transform("cells", lambda c: strip_markup(c))
-    body = body.withColumn("clean", clean)
+    said = F.transform(clean, lambda h, i: F.struct(i.alias("i"), F.array(*(h.rlike(FIELD_WORDS[f]) for f in FIELDS)).alias("has")))
+    first = lambda acc, has: F.array_position(F.zip_with(acc, has, lambda a, b: (a < 0) & b), F.lit(True))
+    step = lambda acc, h: once(first(acc, h["has"]), lambda k: F.transform(acc, lambda a, j: F.when(j + 1 == k, h["i"]).otherwise(a)))
+    found = F.aggregate(said, F.array_repeat(F.lit(-1), len(FIELDS)), step)
+    number = lambda x: F.when(x >= 0, x)
+    spare = lambda m: F.get(F.filter(F.transform(clean, lambda h, i: F.when((h == "") & ~F.array_contains(m, i), i)), lambda i: i.isNotNull()), F.lit(0))
+    return once(found, lambda m: F.struct(*((F.coalesce(number(m[k]), spare(m)) if f == "value" else number(m[k])).alias(f) for k, f in enumerate(FIELDS))))
+
+
+def _table_rows(blocks: DataFrame, cells: Callable[[Column], Column], strict_parity: bool) -> DataFrame:
+    cut = SEPARATOR if strict_parity else r"^\|[\s\-:|]*-[\s\-:|]*\|$"
+    rows = blocks.withColumn("lines", F.filter("lines", lambda x: ~x.rlike(cut)))
+    # headers are mapped once for each table, and cells read once for each row, before rows part: filters on them then cost nothing
+    read = lambda bare: once(cells(bare), lambda cs: F.struct(cs.alias("cells"), F.transform(cs, lambda c: strip_markup(c)).alias("clean")))
+    rows = rows.withColumns({"headers": cells(F.get("lines", F.lit(0))), "read": F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), read)})
+    rows = rows.withColumns({"m": column_map(F.col("headers")), "names": F.transform("headers", lambda h: strip_markup(h))})
+    body = rows.select("doc_id", "page", "block", "title", "headers", "m", "names", F.posexplode("read").alias("k", "r"))
+    body = body.select("*", (F.col("k") + 1).alias("row_no"), "r.cells", "r.clean")
     field = lambda f: F.nullif(F.try_element_at("clean", F.col(f"m.{f}") + 1), F.lit(""))
     used = F.array_compact(F.array(*(F.col(f"m.{f}") for f in FIELDS)))
     spare = F.filter(F.transform(F.slice("clean", F.lit(1), F.size("headers")), lambda c, i: F.struct(F.element_at("names", i + 1).alias("k"), c.alias("v"), i.alias("i"))),
@@ -169,15 +168,14 @@ def tables_markdown(pages: DataFrame, strict_parity: bool = True) -> DataFrame:
 
     The separator test also takes rows whose first cell is blank; ``strict_parity=False`` keeps those.
     """
-    blocks = _blocks(page_lines(pages), F.col("bare").startswith("|"), reset=True)
-    return _table_rows(blocks, F.transform(F.split(F.regexp_replace("bare", r"^\|+|\|+$", ""), r"\|"), lambda c: strip(c)), strict_parity)
+    cells = lambda bare: F.transform(F.split(F.regexp_replace(bare, r"^\|+|\|+$", ""), r"\|"), strip)
+    return _table_rows(_blocks(pages, _PIPED, reset=True), cells, strict_parity)
 
 
 def tables_plain(pages: DataFrame) -> DataFrame:
     """``table_rows`` of plain pages: runs of lines with column breaks; empty cells are left out."""
-    blocks = _blocks(page_lines(pages), F.col("bare").contains(" | "), reset=False)
-    cells = F.filter(F.transform(F.split("bare", r"\|"), lambda c: strip(c)), lambda c: c != "")
-    return _table_rows(blocks, cells, strict_parity=False)
+    cells = lambda bare: F.filter(F.transform(F.split(bare, r"\|"), strip), lambda c: c != "")
+    return _table_rows(_blocks(pages, _BROKEN, reset=False), cells, strict_parity=False)
 
 
 #: Fixed value: a number with one of the units that may follow it in a cell.

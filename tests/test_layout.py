@@ -78,3 +78,12 @@ def test_row_order_and_partitions_do_not_matter(spark):
     a = sorted(map(str, layout.tables_markdown(base).collect()))
     b = sorted(map(str, layout.tables_markdown(base.orderBy(F.desc("page")).repartition(3)).collect()))
     assert a == b
+
+
+def test_tables_are_cut_out_without_windows_over_lines(spark):
+    rows = layout.measurements_from_tables(layout.tables_markdown(pages(spark, "| Test | Result |\n|---|---|\n| a | 1 |")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+    text = "Panel\nTest | Result\nHb | 13\n \n\x1fTest | Result\r\nHct | 40\nalone | x\n　\nend"
+    got = [(r.table_no, r.row_no, r.title, r.name, r.value) for r in layout.tables_plain(pages(spark, text)).orderBy("table_no", "row_no").collect()]
+    assert got == [(1, 1, "Panel", "Hb", "13"), (2, 1, "Panel", "Hct", "40"), (2, 2, "Panel", "alone", "x")]
