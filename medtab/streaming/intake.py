@@ -24,11 +24,11 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def status_of(pages: DataFrame, classified: DataFrame | None = None) -> DataFrame:
+def status_of(pages: DataFrame, classified: DataFrame | None = None, whole_numbers: bool = True) -> DataFrame:
     """``(doc_id, status, error)``: failed for a wrong format, a failed extraction, a failed quality gate or a report type
     that is UNKNOWN or AMBIGUOUS; done otherwise."""
     per = pages.groupBy("doc_id").agg(F.max((~F.coalesce("fmt", F.lit("")).isin(ACCEPTED)).cast("int")).alias("wrong"), F.max(F.coalesce("success", F.lit(True)).cast("int")).alias("any"))
-    q = quality.quality(layout.assemble(pages, marker=False)).select("doc_id", F.col("status").alias("quality"))
+    q = quality.quality(layout.assemble(pages, marker=False), whole_numbers=whole_numbers).select("doc_id", F.col("status").alias("quality"))
     out = per.join(q, "doc_id")
     out = out.join(classified.select("doc_id", F.col("status").alias("type_status")), "doc_id", "left") if classified is not None else out.withColumn("type_status", F.lit(None).cast("string"))
     error = (F.when(F.col("wrong") == 1, "unsupported format").when(F.col("any") == 0, "extraction failed").when(F.col("quality") == "FAILED", "quality check failed")
