@@ -11,6 +11,8 @@ from medtab.operators.sides import small
 GRAM = 3
 #: One of so many texts is looked at to tell rare trigrams from common ones.
 SAMPLED = 64
+#: Patterns up to which each is looked for in each text at once: cheaper than posting all trigrams of the texts.
+FEW = 64
 
 
 def grams(text: Column, n: int) -> Column:
@@ -26,17 +28,23 @@ def _lengths(patterns: DataFrame, size: Column) -> list[int]:
 def substring_matches(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str, carry: list[str] | None = None) -> DataFrame:
     """``(*keys, *carry, *patterns.columns)``: every pattern that stands in a text, as it is written in both.
 
-    ``keys``, never null, name a row of ``texts``; ``carry`` are further columns of it. Each distinct pattern is posted under
+    ``keys``, never null, name a row of ``texts``; ``carry`` are further columns of it. Up to FEW distinct patterns are looked for
+    in each text where it stands. Of more, each distinct pattern is posted under
     one of its trigrams, the one that the fewest texts of a sample hold (ties: the first in order; the choice changes the cost,
     never the result); texts meet it by equality of trigrams, and what meets is verified. Patterns of one or two characters are posted whole. Null and empty
     texts and patterns match nothing; rows of equal patterns all come back.
     """
     held = patterns.where(F.length(pattern) > 0)
     distinct = held.select(F.col(pattern).alias("__p")).distinct()
-    lengths = _lengths(distinct, F.least(F.length("__p"), F.lit(GRAM)))
-    if not lengths:
+    few = sorted(r[0] for r in distinct.limit(FEW + 1).collect())
+    if not few:
         return texts.select(*keys, *(carry or [])).limit(0).crossJoin(held.limit(0))
     own = texts.where(F.length(text) > 0).select(*keys, *(carry or []), F.col(text).alias("__t"))
+    if len(few) <= FEW:
+        stands = F.array_compact(F.array(*(F.when(F.col("__t").contains(p), F.lit(p)) for p in few)))
+        found = own.select(*keys, *(carry or []), F.explode(stands).alias("__p"))
+        return found.join(small(held), found["__p"] == held[pattern]).drop("__p")
+    lengths = _lengths(distinct, F.least(F.length("__p"), F.lit(GRAM)))
     # a text's grams without the text: long texts would else be copied once for every gram
     posted = own.select(*keys, F.explode(F.flatten(F.array(*(grams(F.col("__t"), n) for n in lengths)))).alias("__g"))
     entries = distinct.select("__p", F.explode(F.when(F.length("__p") >= GRAM, grams(F.col("__p"), GRAM)).otherwise(F.array("__p"))).alias("__g"))

@@ -100,3 +100,17 @@ def test_no_array_of_a_lexicon(spark):
     found = facts.relationships(df, links, "MEASURES")
     assert [tuple(r) for r in found.collect()] == [("d", "Serum glucose level", "MEASURES", "C")] and "collect_list" not in plan(found)
     assert [r.target for r in facts.relationships(df.select("doc_id", F.lit("High glucose level").alias("source")), links, "MEASURES").collect()] == ["A"]
+
+
+def test_few_patterns_post_no_trigrams(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "red bolt, hot"), (2, "bolt%_"), (3, ""), (4, None), (5, "xré")], "id int, t string")
+    dim = spark.createDataFrame([("bolt", 1), ("bolt", 2), ("red bolt", 3), ("ol", 4), ("%_", 5), ("é", 6), ("", 7), (None, 8)], "p string, k int")
+    rows = lambda: matching.substring_matches(df, ["id"], "t", dim, "p")
+    few = rows()
+    assert "regexp_extract_all" not in plan(few)
+    got = sorted((r.id, r.k) for r in few.collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 4), (2, 5), (5, 6)]
+    monkeypatch.setattr(matching, "FEW", 0)
+    assert sorted((r.id, r.k) for r in rows().collect()) == got
+    monkeypatch.setattr(sides, "SMALL_BYTES", 0)
+    assert sorted((r.id, r.k) for r in rows().collect()) == got
