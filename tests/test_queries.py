@@ -55,3 +55,8 @@ def test_sides_are_measured(spark, monkeypatch):
     monkeypatch.setattr(sides, "SMALL_BYTES", 10)
     assert "broadcast" not in plan(ranges.canonical_units(rows, aliases)) and sorted(map(tuple, ranges.canonical_units(rows, aliases).collect()), key=str) == want
     assert "broadcast" in plan(rows.join(sides.small(aliases.where("alias = 'zz'")), rows["unit"] == aliases["alias"]))
+
+
+def test_final_reports_judge_concepts_where_they_stand(spark):
+    plan = core.QUERIES["final_report_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # of documents with their facts; concepts don't meet themselves again
