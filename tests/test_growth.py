@@ -35,3 +35,13 @@ def test_levels_are_read_without_moving_lines(spark):
     got = facts.level_measurements(sections(spark, "Level: L1-2 L2-3 / (mm): 15.4 14.5\nLevel | L4-5 | L5-S1\nx\n\ny\nmm | *9* | 10\n"))
     assert plan(got).count("Union") == 0 and plan(got).count("Window [") == 1
     assert sorted((r["name"], r["value_raw"]) for r in got.collect()) == [(f"Sagittal diameter {a}", b) for a, b in (("L1-2", "15.4"), ("L2-3", "14.5"), ("L4-5", "9"), ("L5-S1", "10"))]
+
+
+def test_a_large_table_lands_in_as_many_files_as_its_scan_has_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(core, "scratch_path", lambda session, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        core.QUERIES["stream_status"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list(Path(tmp_path / "intake" / "landing").glob("*.parquet"))) > 4
