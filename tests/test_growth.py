@@ -7,7 +7,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from medtab.operators import facts
+from medtab.plans import more, synth
 from medtab.plans import queries as core
+from medtab.sources.scratch import kept
 
 
 def plan(df):
@@ -45,3 +47,17 @@ def test_a_large_table_lands_in_as_many_files_as_its_scan_has_parts(spark, tmp_p
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(list(Path(tmp_path / "intake" / "landing").glob("*.parquet"))) > 4
+
+
+def test_an_equal_line_is_read_for_sizes_once(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(facts, "kept", lambda df, name: written.setdefault(name, kept(df, name)))
+    got = facts.sized_objects(sections(spark, "Cyst: 3 cm\nCyst: 3 cm\nCyst: 4 x 5 mm\n").unionByName(sections(spark, "Cyst: 3 cm").withColumn("doc_id", F.lit("e"))))
+    assert written["told"].count() == 2 and written["lines"].count() == 4
+    assert sorted((r["doc_id"], r["name"], r["value_raw"], r["unit"]) for r in got.collect()) == [("d", "Cyst", "3", "cm"), ("d", "Cyst", "5", "mm"), ("e", "Cyst", "3", "cm")]
+
+
+def test_items_stay_dealt_by_document(spark):
+    li = synth.items(spark, "/root/testdata/sf0.001")
+    physical = more._sections_of(li, "l_orderkey", "rn", F.col("p_name"), "T")._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(doc_id") == physical.count("Exchange hashpartitioning") == 1
