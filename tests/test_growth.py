@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from medtab.operators import facts
+from medtab.operators import facts, layout, sides
 from medtab.plans import more, synth
 from medtab.plans import queries as core
 from medtab.sources.scratch import kept
@@ -61,3 +61,26 @@ def test_items_stay_dealt_by_document(spark):
     li = synth.items(spark, "/root/testdata/sf0.001")
     physical = more._sections_of(li, "l_orderkey", "rn", F.col("p_name"), "T")._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning(doc_id") == physical.count("Exchange hashpartitioning") == 1
+
+
+def test_an_equal_value_is_read_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", None, 3), ("d", "y", 4), ("e", "z", 5)], "doc_id string, t string, n int")
+    read = lambda df: df.withColumn("up", F.coalesce(F.upper("t"), F.lit("-"))).where("up <> 'Z'")
+    written = {}
+    monkeypatch.setattr(sides, "kept", lambda df, name: written.setdefault(name, kept(df, name)))
+    want = [("a", "x", 1, "X"), ("b", "x", 2, "X"), ("c", None, 3, "-"), ("d", "y", 4, "Y")]
+    got = sides.read_once(rows, ["t"], read, "t")
+    assert sorted(map(tuple, got.collect())) == want and written["t"].count() == 4 and plan(got).count("upper") == 0
+    monkeypatch.setattr(sides, "SMALL_BYTES", 0)
+    got = sides.read_once(rows, ["t"], read, "t")  # too many to be sent: each where it stands
+    assert sorted(map(tuple, got.collect())) == want and plan(got).count("Join ") == 0
+
+
+def test_an_equal_table_row_is_read_once(spark, monkeypatch):
+    table = "Values\n| Test | Result | Note |\n|---|---|---|\n| a | 1 % | x |\n| *a* | 2 | |\n| 1 | 3 | |\n"
+    pages = spark.createDataFrame([(d, 1, table) for d in "pqr"] + [("s", 1, "| Result | Test |\n| a | 1 % | x |\n\n| q |\n|---|\n")], "doc_id string, page int, text string")
+    written = {}
+    monkeypatch.setattr(sides, "kept", lambda df, name: written.setdefault(name, kept(df, name)))
+    got, want = layout.tables_markdown(pages, repeated=True), layout.tables_markdown(pages)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 10 and written["different"].count() == 4 and written["heads"].count() == 2
