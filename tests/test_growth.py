@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from medtab.operators import facts, layout, sides
+from medtab.operators import classify, facts, layout, sides
 from medtab.plans import more, synth
 from medtab.plans import queries as core
 from medtab.sources.scratch import kept
@@ -84,3 +84,25 @@ def test_an_equal_table_row_is_read_once(spark, monkeypatch):
     got, want = layout.tables_markdown(pages, repeated=True), layout.tables_markdown(pages)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.count() == 10 and written["different"].count() == 4 and written["heads"].count() == 2
+
+
+def test_evidence_is_summed_once(spark):
+    found = spark.createDataFrame([("a", "t", 0, 4.0), ("a", "t", 0, 5.0), ("a", "u", 1, 3.0)], "doc_id string, report_type string, registry_no int, weight double").where("weight > 0.123")
+    patterns = spark.createDataFrame([("t", 0), ("u", 1)], "report_type string, registry_no int")
+    out = spark.createDataFrame([("a", "t"), ("a", "t"), ("c", "t")], "doc_id string, report_type string")
+    got = classify.scores(spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string"), found, patterns, out)
+    assert plan(got).count("0.123") == 1
+    assert sorted(map(tuple, got.collect())) == [("a", "t", 0, 4.5, 2), ("a", "u", 1, 3.0, 1), ("b", "t", 0, 0.0, 0), ("c", "t", 0, 0.0, 0)]
+
+
+def test_an_equal_name_is_cleaned_once_for_signals(spark, monkeypatch):
+    pages = spark.createDataFrame([(d, 1, "# A *red* ring\n| Test | Result |\n|---|---|\n| hot bolt | 1 |\n") for d in "pq"] + [("r", 1, ""), ("t", 1, " ")], "doc_id string, page int, text string")
+    rows, cut = layout.tables_markdown(pages), layout.sections_markdown(pages)
+    written = {}
+    monkeypatch.setattr(classify, "read_once", lambda df, keys, read, name: written.setdefault(name, sides.read_once(df, keys, read, name)))
+    raw = spark.createDataFrame([("p", "never"), ("r", "bare text")], "doc_id string, text string")
+    got = classify.signals(cut, rows, layout.measurements_from_tables(rows), raw)
+    assert set(written) == {"titles", "brief"} and plan(written["brief"]).count("lower(") == 0
+    assert [(r.signal_no, r.source_field, r.text, r.norm) for r in got.orderBy("doc_id", "signal_no").collect() if r.doc_id in "pr"] == [
+        (1, "document_title", "A red ring", "a red ring"), (2, "section_title", "A red ring", "a red ring"), (3, "table_header", "Test", "test"), (4, "table_header", "Result", "result"),
+        (5, "table_title", "A red ring", "a red ring"), (6, "measurement_name", "hot bolt", "hot bolt"), (7, "section_text", "| Test | Result | |---|---| | hot bolt | 1 |", "test result hot bolt 1"), (1, "raw_text", "bare text", "bare text")]
