@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from medtab.operators import classify, facts, layout, sides
+from medtab.operators import classify, facts, layout, ranges, report, sides
 from medtab.plans import more, synth
 from medtab.plans import queries as core
 from medtab.sources.scratch import kept
@@ -106,3 +106,13 @@ def test_an_equal_name_is_cleaned_once_for_signals(spark, monkeypatch):
     assert [(r.signal_no, r.source_field, r.text, r.norm) for r in got.orderBy("doc_id", "signal_no").collect() if r.doc_id in "pr"] == [
         (1, "document_title", "A red ring", "a red ring"), (2, "section_title", "A red ring", "a red ring"), (3, "table_header", "Test", "test"), (4, "table_header", "Result", "result"),
         (5, "table_title", "A red ring", "a red ring"), (6, "measurement_name", "hot bolt", "hot bolt"), (7, "section_text", "| Test | Result | |---|---| | hot bolt | 1 |", "test result hot bolt 1"), (1, "raw_text", "bare text", "bare text")]
+
+
+def test_counted_facts_travel_as_numbers(spark):
+    rows = spark.createDataFrame([("a", 1, "Bp", "MEASUREMENT", "130/70", None, None, None, "PRESENT"), ("a", 2, "Date", "MEASUREMENT", "3", 3.0, None, None, "PRESENT"), ("a", 3, "mild pain", "FINDING", None, None, None, None, "PRESENT")],
+                                 "doc_id string, concept_no int, concept string, type string, value_raw string, value_num double, unit string, reference_range string, assertion string")
+    facts_ = report.reportable(ranges.significance(rows, whole=True))
+    kinds = spark.createDataFrame([("a", "order", "CONFIDENT", 1.0)], "doc_id string, report_type string, status string, confidence double")
+    some, every = report.assembled(kinds, facts_, fields=["concept_no", "part_no"]), report.assembled(kinds, ranges.significance(rows, whole=True))
+    count = lambda df: [tuple(r) for r in df.selectExpr("size(key_findings)", "size(measurements_of_interest)", "n_abnormal", "n_concepts").collect()]
+    assert count(some) == count(every) == [(1, 2, 2, 2)] and "basis" not in plan(some) and "basis" in plan(every)
