@@ -116,3 +116,11 @@ def test_counted_facts_travel_as_numbers(spark):
     some, every = report.assembled(kinds, facts_, fields=["concept_no", "part_no"]), report.assembled(kinds, ranges.significance(rows, whole=True))
     count = lambda df: [tuple(r) for r in df.selectExpr("size(key_findings)", "size(measurements_of_interest)", "n_abnormal", "n_concepts").collect()]
     assert count(some) == count(every) == [(1, 2, 2, 2)] and "basis" not in plan(some) and "basis" in plan(every)
+
+
+def test_a_place_is_looked_for_by_an_expression_only_where_it_must(spark):
+    lexicon = spark.createDataFrame([("generic", 1, "left lung"), ("generic", 2, "heart"), ("generic", 3, "ear"), ("generic", 4, "d\u00fcnn")], "rule_set string, position int, pattern string")
+    rows = sections(spark, "Heart: left  lung, Left lung. Hearing, near, ear").unionByName(sections(spark, "hearty D\u00dcNN heart").withColumn("doc_id", F.lit("e")))
+    got = facts.anatomy(rows, spark.createDataFrame([("d", "generic"), ("e", "generic")], "doc_id string, rule_set string"), lexicon)
+    assert "instr(low" in plan(got)
+    assert sorted((r.doc_id, r.term) for r in got.collect()) == [("d", "Heart"), ("d", "Left lung"), ("d", "ear"), ("e", "D\u00dcNN"), ("e", "heart")]
