@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from medtab.operators import classify, facts, layout, ranges, report, sides
+from medtab.operators import classify, facts, job, layout, ranges, report, sides
 from medtab.plans import more, synth
 from medtab.plans import queries as core
 from medtab.sources.scratch import kept
@@ -124,3 +124,11 @@ def test_a_place_is_looked_for_by_an_expression_only_where_it_must(spark):
     got = facts.anatomy(rows, spark.createDataFrame([("d", "generic"), ("e", "generic")], "doc_id string, rule_set string"), lexicon)
     assert "instr(low" in plan(got)
     assert sorted((r.doc_id, r.term) for r in got.collect()) == [("d", "Heart"), ("d", "Left lung"), ("d", "ear"), ("e", "D\u00dcNN"), ("e", "heart")]
+
+
+def test_the_job_reads_equal_rows_once(spark, monkeypatch):
+    asked = []
+    real = layout.tables_markdown
+    monkeypatch.setattr(layout, "tables_markdown", lambda pages, **how: asked.append(how) or real(pages, **how))
+    _, rows = job.parsed(spark.createDataFrame([("a", 1, "| Test | Result |\n|---|---|\n| x | 1 |")], "doc_id string, page int, text string"))
+    assert asked == [{"repeated": True}] and [(r.name, r.value) for r in rows.collect()] == [("x", "1")]
