@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from medtab.operators import classify, facts, job, layout, ranges, report, sides
+from medtab.operators import classify, facts, job, layout, quality, ranges, report, sides
 from medtab.plans import more, synth
 from medtab.plans import queries as core
 from medtab.sources.scratch import kept
@@ -132,3 +132,10 @@ def test_the_job_reads_equal_rows_once(spark, monkeypatch):
     monkeypatch.setattr(layout, "tables_markdown", lambda pages, **how: asked.append(how) or real(pages, **how))
     _, rows = job.parsed(spark.createDataFrame([("a", 1, "| Test | Result |\n|---|---|\n| x | 1 |")], "doc_id string, page int, text string"))
     assert asked == [{"repeated": True}] and [(r.name, r.value) for r in rows.collect()] == [("x", "1")]
+
+
+def test_cells_are_counted_once_for_the_gate(spark):
+    rows = spark.createDataFrame([("| a | b |\n| c | d |\n|---|---|\n| e |",), ("| a |\n| b | c |",), ("plain",)], "text string")
+    got = rows.select(quality.table_coherence(F.split("text", "\n")).alias("s"))
+    assert plan(got).count(r"^\|+|\|+$") == 1
+    assert [r.s for r in got.collect()] == [0.7, 0.7, 1.0]
