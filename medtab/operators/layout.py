@@ -147,11 +147,9 @@ def column_map(headers: Column) -> Column:
     return once(found, lambda m: F.struct(*((F.coalesce(number(m[k]), spare(m)) if f == "value" else number(m[k])).alias(f) for k, f in enumerate(FIELDS))))
 
 
-def _read_rows(lines: DataFrame, cells: Callable[[Column], Column]) -> DataFrame:
-    """``lines(headers, m, names, line, ...)`` with what a row says under its header: cells, fields and what else has a header."""
-    # cells are read once, in an array, so that filters on them cost nothing
-    read = once(cells(F.col("line")), lambda cs: F.struct(cs.alias("cells"), F.transform(cs, lambda c: strip_markup(c)).alias("clean")))
-    body = lines.select("*", F.explode(F.array(read)).alias("r")).select(*lines.columns, "r.cells", "r.clean")
+def _read_rows(body: DataFrame) -> DataFrame:
+    """Rows ``(headers, m, names, r, ...)``, ``r`` being cells as they stand and without marks, with what they say under their header."""
+    body = body.select(*body.columns, "r.cells", "r.clean")
     field = lambda f: F.nullif(F.try_element_at("clean", F.col(f"m.{f}") + 1), F.lit(""))
     used = F.array_compact(F.array(*(F.col(f"m.{f}") for f in FIELDS)))
     spare = F.filter(F.transform(F.slice("clean", F.lit(1), F.size("headers")), lambda c, i: F.struct(F.element_at("names", i + 1).alias("k"), c.alias("v"), i.alias("i"))),
@@ -160,7 +158,7 @@ def _read_rows(lines: DataFrame, cells: Callable[[Column], Column]) -> DataFrame
     # of equal headers the last cell counts
     last = F.filter("spare", lambda s: ~F.exists("spare", lambda o: (o["k"] == s["k"]) & (o["i"] > s["i"])))
     extra = F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"])))
-    return body.select(*lines.columns, "cells", *(field(f).alias(f) for f in FIELDS), extra.alias("extra")).drop("m", "names")
+    return body.select(*(c for c in body.columns if c not in ("m", "names", "r", "clean", "spare")), *(field(f).alias(f) for f in FIELDS), extra.alias("extra"))
 
 
 def _table_rows(blocks: DataFrame, cells: Callable[[Column], Column], strict_parity: bool, repeated: bool = False) -> DataFrame:
@@ -170,11 +168,14 @@ def _table_rows(blocks: DataFrame, cells: Callable[[Column], Column], strict_par
     third = lambda x: F.substring(x, 3, 1)
     rows = blocks.withColumn("lines", F.filter("lines", lambda x: third(x).between("A", "z") | ~x.rlike(cut))).withColumn("head", F.get("lines", F.lit(0)))
     mapped = lambda df: df.withColumn("headers", cells(F.col("head"))).withColumns({"m": column_map(F.col("headers")), "names": F.transform("headers", lambda h: strip_markup(h))})
-    parted = lambda df: df.select(*(c for c in df.columns if c != "lines"), F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("k", "line"))
+    body_lines = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
+    read = lambda bare: once(cells(bare), lambda cs: F.struct(cs.alias("cells"), F.transform(cs, lambda c: strip_markup(c)).alias("clean")))
     if repeated:
-        body = read_once(kept(parted(rows), "lines"), ["head", "line"], lambda lines: _read_rows(read_once(lines, ["head"], mapped, "heads"), cells), "different")
-    else:  # headers are mapped once for each table, before rows part
-        body = _read_rows(parted(mapped(rows)), cells)
+        lines = kept(rows.select("doc_id", "page", "block", "title", "head", F.posexplode(body_lines).alias("k", "line")), "lines")
+        body = read_once(lines, ["head", "line"], lambda df: _read_rows(read_once(df, ["head"], mapped, "heads").withColumn("r", read(F.col("line")))), "different")
+    else:  # headers are mapped once for each table, and cells read once for each row, before rows part: filters on them then cost nothing
+        found = mapped(rows).withColumn("read", F.transform(body_lines, read))
+        body = _read_rows(found.select("doc_id", "page", "block", "title", "headers", "m", "names", F.posexplode("read").alias("k", "r")))
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "block"))
     return body.select("doc_id", "page", number.alias("table_no"), (F.col("k") + 1).alias("row_no"), "title", "headers", "cells", *FIELDS, "extra")
 
